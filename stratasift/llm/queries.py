@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratasift.llm import ngram_jaccard
+from stratasift.llm import chat_format, ngram_jaccard, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,35 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.near_duplicate_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_measures(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
+    done = chat_format.format_conversations(turns.unionByName(extra))
+    read = done.select("conv_id", "n_turns", "formatted", chat_format.parse_turns(F.col("formatted")).alias("turns"), F.transform("loss_spans", lambda s: F.substr("formatted", s.start + 1, s.length)).alias("loss"))
+    read = read.withColumn("loss_text", F.array_join(F.transform("loss", chat_format.unescape), ""))
+    return read.select(
+        "conv_id", "n_turns",
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP3_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (select *, replace(replace(replace(text, '\', '\\'), '#', '\h'), '<', '\l') as body, replace(replace(replace(replace(role, '\', '\\'), '#', '\h'), '<', '\l'), ':', '\c') as head from t)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, body)) as turns_sha256,
+  coalesce(cast(sum(length(text)) filter (where role = 'assistant') as bigint), 0) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, body) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(head) + length(body) + 15) as bigint) as formatted_chars
+from e group by conv_id
+"""
+
+QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality_rules": op2_quality_rules, "op3_chat_format": op3_chat_format}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op3_chat_format": OP3_SQL}
