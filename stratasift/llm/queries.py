@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratasift.llm import chat_format, ngram_jaccard, quality_rules
+from stratasift.llm import chat_format, ngram_jaccard, quality_rules, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.taken_by_document(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -46,5 +50,14 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_quality_rules": op2_quality_rules, "op3_chat_format": op3_chat_format}
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op3_chat_format": OP3_SQL}
+QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_chat_format": op3_chat_format,
+    "op10_source_mix": op10_source_mix,
+}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op3_chat_format": OP3_SQL,
+    "op10_source_mix": source_mix.ORACLE_SQL,
+}
