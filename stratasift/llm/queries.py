@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratasift.llm import chat_format, license_scan, ngram_jaccard, quality_rules, source_mix
+from stratasift.llm import chat_format, decontaminate, license_scan, ngram_jaccard, quality_classifier, quality_rules, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,15 +54,34 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def fold(id_col: str, n: int) -> Column:
+    return F.crc32(F.col(id_col).cast("string")) % n
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
+    weights = quality_classifier.train(docs, labels)
+    return quality_classifier.score_quality(docs, weights).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
     "op6_license_scan": op6_license_scan,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_source_mix": op10_source_mix,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op3_chat_format": OP3_SQL,
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op10_source_mix": source_mix.ORACLE_SQL,
 }
