@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratasift.llm import chat_format, decontaminate, license_scan, ngram_jaccard, quality_classifier, quality_rules, source_mix
+from stratasift.llm import chat_format, decontaminate, lattice_lm, license_scan, ngram_jaccard, quality_classifier, quality_rules, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(docs, weights).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+#: A public subword vocabulary; its folder can be set.
+VOCABULARY = os.environ.get("STRATASIFT_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
+
+
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 10) != 0).alias("train"))
+    return lattice_lm.score_texts(docs, VOCABULARY)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
@@ -77,6 +88,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_lattice_lm": op9_lattice_lm,
     "op10_source_mix": op10_source_mix,
 }
 ORACLES: dict[str, str] = {
