@@ -102,6 +102,26 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(h + np.uint64(k))
 
 
+#: Bits of an id filter that tasks share (4 MB), whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def slot_filter(df: DataFrame, hashed: Column) -> np.ndarray:
+    """A bitmap of FILTER_BITS with the slots of uniformly hashed longs: it lets all of them through, and others as it fills up."""
+    slot = hashed.bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = df.select(slot.alias("s")).select(F.expr("s div 64").alias("w"), F.expr("shiftleft(1L, cast(s % 64 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words.toLocalIterator():
+        out[r.w] = r.bits
+    return out.view(np.uint64)
+
+
+def passes(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Mask of the longs whose slot is in the filter."""
+    slot = hashed.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label the vertices of undirected edges (a long, b long) with the smallest vertex they reach: (v, component).
 

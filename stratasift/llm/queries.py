@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratasift.llm import chat_format, decontaminate, lattice_lm, license_scan, ngram_jaccard, quality_classifier, quality_rules, source_mix
+from stratasift.llm import chat_format, decontaminate, lattice_lm, license_scan, line_dedup, ngram_jaccard, quality_classifier, quality_rules, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
+    "op5_line_dedup": op5_line_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_classifier": op8_quality_classifier,
@@ -94,6 +99,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op3_chat_format": OP3_SQL,
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op10_source_mix": source_mix.ORACLE_SQL,
 }
