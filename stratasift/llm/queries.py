@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratasift.llm import chat_format, decontaminate, lattice_lm, license_scan, line_dedup, ngram_jaccard, quality_classifier, quality_rules, source_mix
+from stratasift.llm import chat_format, decontaminate, html_extract, lattice_lm, license_scan, line_dedup, ngram_jaccard, quality_classifier, quality_rules, source_mix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
+    "op4_html_extract": op4_html_extract,
     "op5_line_dedup": op5_line_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_decontaminate": op7_decontaminate,
