@@ -34,10 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows of a null doc_id stay. Repeated rows of the document that stays come down to one.
     """
     found = ngram_jaccard.near_duplicate_components(docs, k=5, num=80, den=100)
-    heads = found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
-    named, null = kept.where("doc_id is not null"), kept.where("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).unionByName(null)
+    heads = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
