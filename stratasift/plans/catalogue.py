@@ -227,16 +227,20 @@ def embedded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("page_id", "needle", F.explode(F.transform(found, lambda x: x - F.length("needle"))).alias("at")).where("at > 0")
 
 
-@query("""select doc_id, item_id, cast(strpos(d.text, b.text) - 1 as bigint) as at from documents d join benchmark b on contains(d.text, b.text) where length(b.text) >= 24""")
+@query(r"""select doc_id, item_id, cast(strpos(d.text, b.text) - 1 as bigint) as at from documents d join benchmark b on contains(d.text, b.text) where len(string_split_regex(b.text, '\s+')) >= 5""")
 def passage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of 24 characters or more: those that share its first 24, a hash join, then the text decides."""
+    """Documents that hold a passage of five words or more.
+
+    Wherever a passage stands, its second to fourth words stand whole: documents and passages
+    meet in a hash join on three-word windows, then the text decides.
+    """
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    key = F.xxhash64(F.substring("text", 1, 24))
-    items = b.where(F.length("text") >= 24).select("item_id", F.col("text").alias("passage"), key.alias("key"))
-    starts = d.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1))), lambda i: F.xxhash64(F.substr("text", i, F.lit(24)))))).alias("key"))
-    hit = starts.join(items, "key").where(F.expr("contains(text, passage)"))
-    place = F.expr("cast(locate(passage, text) - 1 as bigint)").alias("at")
-    return hit.select("doc_id", "item_id", place).distinct()
+    words = F.split("text", r"\s+")
+    items = b.where(F.size(words) >= 5).select("item_id", F.col("text").alias("passage"), F.xxhash64(words[1], words[2], words[3]).alias("key"))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    keyed = d.select("doc_id", words.alias("words")).select("doc_id", F.explode(F.array_distinct(windows)).alias("key"))
+    hit = keyed.join(items, "key").join(d.select("doc_id", "text"), "doc_id").where(F.expr("contains(text, passage)"))
+    return hit.select("doc_id", "item_id", F.expr("cast(locate(passage, text) - 1 as bigint)").alias("at")).distinct()
 
 
 # Names and paths
