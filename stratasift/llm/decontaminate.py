@@ -33,9 +33,8 @@ SEEDS = mix64(np.arange(1, FUNCTIONS + 1, dtype=np.uint64))
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """Band keys of a set: for each function its smallest hash, made distinct by function."""
     with np.errstate(over="ignore"):
-        low = np.empty(FUNCTIONS, dtype=np.uint64)
-        for j in range(FUNCTIONS):
-            low[j] = mix64(shingles + SEEDS[j]).min()
+        step = max(1, 200_000 // len(shingles))  # functions at once
+        low = np.concatenate([mix64(shingles[None, :] + SEEDS[j : j + step, None]).min(axis=1) for j in range(0, FUNCTIONS, step)])
         return mix64(low ^ SEEDS)
 
 
