@@ -356,3 +356,18 @@ def test_scan_detects_and_expands(spark, tmp_path):
     assert any("nesting depth" in r.reason for r in cut.collect())
     parsed = {r.virtual_path: r for r in models.parse_models(whole).collect()}
     assert len(parsed) == 3 and all(r.valid and r.triangles == 4 for r in parsed.values())
+
+
+def test_cli(spark, tmp_path, capsys):
+    import json
+
+    from stratasift import cli
+
+    root = tmp_path / "g"
+    root.mkdir()
+    (root / "cube.obj").write_bytes(CUBE)
+    (root / "globalgamemanagers").write_bytes(b"\1" * 50)
+    assert cli.main(["scan", str(root), "--out", str(tmp_path / "o"), "--work", str(tmp_path / "w")]) == 0
+    assert json.loads(capsys.readouterr().out)["models"] == 1 and (tmp_path / "o" / "report.html").exists()
+    assert cli.main(["detect", str(root)]) == 0 and "Unity" in capsys.readouterr().out
+    assert cli.main(["formats"]) == 0 and cli.main(["bogus"]) == 2 and cli.main(["inspect", str(tmp_path / "none")]) == 1
