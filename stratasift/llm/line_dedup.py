@@ -137,17 +137,25 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[t
 
 
 def _hot_keys(docs: DataFrame, tau: int, least: int) -> np.ndarray:
-    """Keys that many lines share within a task, most shared first, HOT_KEYS of them at most."""
+    """Keys that many segments and probes share within a task, most shared first, HOT_KEYS of them at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def fold(least: int) -> None:
+            nonlocal keys, counts
+            k, c = np.unique(np.concatenate(held or [keys[:0]]), return_counts=True)
+            keys, where = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            counts = np.bincount(where, weights=np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
+            keys, counts = keys[counts >= least], counts[counts >= least]
+            held.clear()
+
         for lines, _ in _distinct_lines(batches, least):
-            k, c = np.unique(segment_keys(lines, tau, False)[0], return_counts=True)
-            both = np.concatenate([keys, k])
-            keys, where = np.unique(both, return_inverse=True)
-            counts = np.bincount(where, weights=np.concatenate([counts, c])).astype(np.int64)
-            if len(keys) > 1_500_000:
-                keys, counts = keys[counts > 1], counts[counts > 1]
+            held += [segment_keys(lines, tau, False)[0], segment_keys(lines, tau, True)[0]]
+            if sum(map(len, held)) > 3_000_000:
+                fold(2)
+        fold(3)
         top = np.flatnonzero(counts > 2)
         top = top[np.argsort(-counts[top], kind="stable")[: HOT_KEYS // 2]]
         yield pa.record_batch([pa.array(keys[top].view(np.int64)), pa.array(counts[top])], ["key", "n"])
