@@ -224,27 +224,57 @@ def pak_encoded_entry(blob: bytes, at: int) -> dict:
     return {"offset": offset, "size": size, "unpacked": unpacked, "method": method, "n_blocks": bits >> 6 & 0xFFFF, "encrypted": bool(bits >> 22 & 1), "block_size": block_size}
 
 
+def _pak_listing(blob: bytes, info: dict) -> Iterator[tuple[str, int]]:
+    """(name, place of the payload record) of the members, by the record index or, from version 10, the directory index."""
+    _, at = _pak_string(blob, info["index_at"])
+    (count,) = struct.unpack_from("<I", blob, at)
+    at += 4
+    if info["version"] < 10:
+        for _ in range(count):
+            name, at = _pak_string(blob, at)
+            entry, at = _pak_record(blob, at, info["version"])
+            if not entry["encrypted"]:
+                yield name, entry["offset"]
+        return
+    at += 8  # seed of the path hashes
+    tables = []
+    for _ in range(2):  # by path hash, by directory: a flag, then place, size and digest
+        (there,) = struct.unpack_from("<I", blob, at)
+        at += 4
+        tables.append(struct.unpack_from("<QQ", blob, at) if there else None)
+        at += 36 if there else 0
+    if tables[1] is None:
+        raise ValueError("no directory index")
+    encoded = at + 4
+    at = tables[1][0]
+    (folders,) = struct.unpack_from("<I", blob, at)
+    at += 4
+    for _ in range(folders):
+        folder, at = _pak_string(blob, at)
+        (files,) = struct.unpack_from("<I", blob, at)
+        at += 4
+        for _ in range(files):
+            name, at = _pak_string(blob, at)
+            (place,) = struct.unpack_from("<i", blob, at)
+            at += 4
+            if place >= 0:
+                entry = pak_encoded_entry(blob, encoded + place)
+                if not entry["encrypted"]:
+                    yield folder.strip("/") + "/" + name if folder.strip("/") else name, entry["offset"]
+
+
 def read_pak(blob: bytes, budget: Budget) -> Iterator[Member]:
-    """Members of versions 1 to 9 by their record index; encrypted ones are skipped, unknown methods raise."""
+    """Members of versions 1 to 11; encrypted ones are skipped, unknown methods raise."""
     info = pak_info(blob)
     if not info:
         raise ValueError("no package footer")
-    if info["version"] >= 10:
-        raise ValueError(f"compact index of version {info['version']} needs its directory index")
-    mount, at = _pak_string(blob, info["index_at"])
-    (count,) = struct.unpack_from("<I", blob, at)
-    at += 4
-    for _ in range(count):
-        name, at = _pak_string(blob, at)
-        entry, at = _pak_record(blob, at, info["version"])
-        if entry["encrypted"]:
-            continue
-        _, start = _pak_record(blob, entry["offset"], info["version"])
+    for name, place in _pak_listing(blob, info):
+        entry, start = _pak_record(blob, place, info["version"])
         if not entry["method"]:
             yield name, blob[start : start + entry["unpacked"]]
             continue
         method = (info["methods"][entry["method"] - 1] if entry["method"] <= len(info["methods"]) else "?").lower()
-        base = entry["offset"] if info["version"] >= 5 else 0
+        base = place if info["version"] >= 5 else 0
         pieces = [blob[base + a : base + b] for a, b in entry["blocks"]] or [blob[start : start + entry["size"]]]
         yield name, b"".join(unpack(method, p, entry["unpacked"]) for p in pieces)
 

@@ -455,6 +455,33 @@ def write_obj(m: dict, library: str = "model.mtl") -> tuple[str, str]:
     return "\n".join(lines) + "\n", "\n".join(mtl) + "\n"
 
 
+def write_dae(m: dict) -> str:
+    """COLLADA with geometry, materials and the bone hierarchy; skins and clips are left out."""
+    from xml.sax.saxutils import quoteattr
+
+    nums = lambda a: " ".join(f"{v:g}" for v in np.asarray(a).ravel())
+    geometry, scene = [], []
+    for i, x in enumerate(m["meshes"]):
+        parts = [("POSITION", x["vertices"], "X Y Z")] + ([("NORMAL", x["normals"], "X Y Z")] if len(x["normals"]) else []) + ([("TEXCOORD", x["uvs"], "S T")] if len(x["uvs"]) else [])
+        sources = ""
+        for kind, rows, axes in parts:
+            params = "".join(f'<param name="{a}" type="float"/>' for a in axes.split())
+            sources += f'<source id="g{i}-{kind}"><float_array id="g{i}-{kind}-a" count="{rows.size}">{nums(rows)}</float_array><technique_common><accessor source="#g{i}-{kind}-a" count="{len(rows)}" stride="{rows.shape[1]}">{params}</accessor></technique_common></source>'
+        inputs = f'<input semantic="VERTEX" source="#g{i}-v" offset="0"/>' + "".join(f'<input semantic="{kind}" source="#g{i}-{kind}" offset="0"/>' for kind, _, _ in parts[1:])
+        geometry.append(f'<geometry id="g{i}" name={quoteattr(x["name"])}><mesh>{sources}<vertices id="g{i}-v"><input semantic="POSITION" source="#g{i}-POSITION"/></vertices><triangles count="{len(x["indices"]) // 3}">{inputs}<p>{" ".join(map(str, x["indices"]))}</p></triangles></mesh></geometry>')
+        scene.append(f'<node id="n{i}" name={quoteattr(x["name"])}><instance_geometry url="#g{i}"/></node>')
+    children: dict[int, list[int]] = {}
+    for i, b in enumerate(m["bones"]):
+        children.setdefault(b["parent"], []).append(i)
+
+    def joint(i: int) -> str:
+        b = m["bones"][i]
+        return f'<node id="b{i}" name={quoteattr(b["name"])} type="JOINT"><translate>{nums(b["translation"])}</translate>{"".join(map(joint, children.get(i, [])))}</node>'
+
+    scene += [joint(i) for i in children.get(-1, [])]
+    return f'<?xml version="1.0" encoding="utf-8"?><COLLADA xmlns="http://www.collada.org/2005/11/COLLADASchema" version="1.4.1"><asset><up_axis>Y_UP</up_axis></asset><library_geometries>{"".join(geometry)}</library_geometries><library_visual_scenes><visual_scene id="scene">{"".join(scene)}</visual_scene></library_visual_scenes><scene><instance_visual_scene url="#scene"/></scene></COLLADA>'
+
+
 ROW = "virtual_path string, format string, meshes int, vertices long, triangles long, materials int, bones int, clips int, skinned boolean, valid boolean, issues array<string>, warnings array<string>, quality double, error string"
 
 

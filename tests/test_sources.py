@@ -152,6 +152,27 @@ def test_pak():
     assert named(archives.members_of("p.pak", pak())) == {"a.txt": b"hello", "b.bin": b"x" * 1000}
 
 
+def test_pak_directory_index():
+    data = b"payload"
+    record = struct.pack("<QQQI", 0, len(data), len(data), 0) + b"\0" * 20 + struct.pack("<BI", 0, 0)
+    body = record + data
+    string = lambda s: struct.pack("<i", len(s) + 1) + s.encode() + b"\0"
+    encoded = struct.pack("<3I", 1 << 31 | 1 << 30, 0, len(data))
+    directory = struct.pack("<I", 1) + string("Game/") + struct.pack("<I", 1) + string("x.bin") + struct.pack("<i", 0)
+    lead = string("../../../") + struct.pack("<IQ", 1, 7) + struct.pack("<I", 0) + struct.pack("<I", 1)
+    size = len(lead) + 36 + 4 + len(encoded)
+    index = lead + struct.pack("<QQ", len(body) + size, len(directory)) + b"\0" * 20 + struct.pack("<I", len(encoded)) + encoded
+    footer = b"\0" * 17 + struct.pack("<IIQQ", archives.PAK_MAGIC, 11, len(body), size) + b"\0" * 20 + b"Zlib".ljust(160, b"\0")
+    assert named(archives.members_of("p.pak", body + index + directory + footer)) == {"Game/x.bin": data}
+
+
+def test_dae():
+    import xml.etree.ElementTree as tree
+
+    root = tree.fromstring(models.write_dae(rigged()))
+    assert len(root.findall(".//{*}geometry")) == 1 and [n.get("name") for n in root.iter("{http://www.collada.org/2005/11/COLLADASchema}node") if n.get("type") == "JOINT"] == ["Hips", "Spine", "Head"]
+
+
 def test_pak_encoded_entry():
     bits = 1 << 31 | 1 << 30 | 1 << 29 | 1 << 23 | 1 << 6 | 3
     e = archives.pak_encoded_entry(struct.pack("<4I", bits, 4096, 2048, 1024), 0)
