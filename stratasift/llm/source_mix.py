@@ -86,14 +86,14 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 1) -> DataFrame:
-    """What the mix takes: doc_id, size, source, source_size, target, shard, position, words.
+    """What the mix takes: doc_id, copy, size, source, source_size, target, shard, position, words.
 
     One row for each piece of a document in a block of the mix, and one row with null shard
     and no words for each document that it leaves out. words sums to the source's rounded
     target exactly; a document comes at most MAX_REPEATS times, and only the last block of a
     source may cut one. Documents without words have size 0 and are left out. Null sources
     form one source, last; a null doc_id counts like any other; repeated rows are documents
-    of their own, whose order among each other does not matter; an empty table, or one
+    of their own, told apart by copy; an empty table, or one
     without words, takes nothing. Reruns agree.
     """
     d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
@@ -112,7 +112,7 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 1)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     ranges = ranges.join(goal, same(ranges, goal)).drop(goal["source"])
     inside = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = d.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = d.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("copy", F.row_number().over(Window.partitionBy("source", "range").orderBy("key", "size")))
     placed = placed.join(ranges, same(placed, ranges) & (placed["range"] == ranges["range"])).drop(ranges["source"]).drop(ranges["range"])
     placed = placed.withColumn("start", F.col("base") + F.col("before"))
     # Passes over the source: the words of pass p start at p * source_size + start of the stream.
@@ -121,8 +121,8 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 1)
     first, last = lambda x: F.floor(x["from"] / F.col("per_block")), lambda x: F.floor((x["to"] - 1) / F.col("per_block"))
     pieces = F.flatten(F.transform(passes, lambda x: F.transform(F.sequence(first(x), last(x)), lambda b: F.struct(
         b.cast("long").alias("block"), F.greatest(x["from"], b * F.col("per_block")).alias("at"), (F.least(x["to"], (b + 1) * F.col("per_block")) - F.greatest(x["from"], b * F.col("per_block"))).alias("words")))))
-    rows = placed.select("doc_id", "size", "source", "source_size", "target", "source_no", "n_blocks", F.explode_outer(pieces).alias("piece"))
-    rows = rows.select("doc_id", "size", "source", "source_size", "target", "source_no", "piece.block", "piece.at", "piece.words")
+    rows = placed.select("doc_id", "copy", "size", "source", "source_size", "target", "source_no", "n_blocks", F.explode_outer(pieces).alias("piece"))
+    rows = rows.select("doc_id", "copy", "size", "source", "source_size", "target", "source_no", "piece.block", "piece.at", "piece.words")
 
     runs = split_quotas(goal.where("n_blocks > 0").select("source_no", "n_blocks"), shards, seed)
     # A source's blocks in a permuted order: the tree's runs are positions in that order.
@@ -133,15 +133,15 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 1)
     block_shards = materialise(block_shards)[0]  # at most BLOCKS rows and one more a source
     taken = rows.where("block is not null").join(block_shards, ["source_no", "block"])
     taken = taken.withColumn("position", F.xxhash64(F.lit(seed + 2), "shard", "source_no", "block", "at"))
-    columns = ["doc_id", "size", "source", "source_size", "target", "shard", "position", "words"]
-    left_out = rows.where("block is null").select("doc_id", "size", "source", "source_size", "target", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("position"), F.lit(0).cast("long").alias("words"))
+    columns = ["doc_id", "copy", "size", "source", "source_size", "target", "shard", "position", "words"]
+    left_out = rows.where("block is null").select("doc_id", "copy", "size", "source", "source_size", "target", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("position"), F.lit(0).cast("long").alias("words"))
     return taken.select(columns).unionByName(left_out)
 
 
 def taken_by_document(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 1) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken. Rows that share doc_id, source and size are summed up."""
+    """One row a document row: doc_id, size, source_size, target, taken. Repeated rows have a row each."""
     pieces = mix(docs, shards, blocks, seed)
-    return pieces.groupBy("doc_id", "source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken")).drop("source")
+    return pieces.groupBy("doc_id", "copy", "source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken")).drop("source", "copy")
 
 
 #: DuckDB's form of taken_by_document over `documents` with the default seed. The recursion saturates sources until none is above its cap.
