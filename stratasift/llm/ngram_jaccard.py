@@ -15,8 +15,10 @@ Tokens are 64-bit hashes of word windows. Any total order of tokens gives right
 shingles that are locally frequent get the last places, so shared passages rarely enter a
 prefix. The list of frequent shingles has a fixed bound and changes speed only.
 
-Long lists are cut into chunks; each pair of chunks is its own group, so no list of any
-length meets in one task, and a group returns at most one edge a set (a spanning forest).
+Sets that a chain of candidates connects (a crowd) meet in one group while they are few, so
+that each set is sent once, not once a list. Larger crowds, and beyond a bound their lists,
+are cut into chunks and each pair of chunks is its own group: no crowd or list of any length
+meets in one task, and a group returns at most one edge a set (a spanning forest).
 """
 
 from __future__ import annotations
@@ -29,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasift.llm.common import WordHasher, components, materialise, window_hashes, words_of
+from stratasift.llm.common import WordHasher, components, materialise, passes, slot_filter, window_hashes, words_of
 
 #: Prefix lists of up to SHORT sets are joined pair by pair; longer ones by pairs of chunks of about CHUNK sets.
-SHORT, CHUNK = 48, 512
+SHORT, CHUNK = 256, 1024
+#: Tokens of a chunk of a crowd, so that long texts make chunks of fewer sets.
+TOKENS = 1_000_000
+#: Crowds of candidates of up to so many sets are compared as a whole, by pairs of chunks; in larger ones, list by list.
+WHOLE = 16 * CHUNK
 #: Bound of the list of frequent shingles that tasks share.
 FREQUENT = 32_768
 
@@ -127,9 +133,10 @@ def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, freque
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for batch in batches:
+        batch = batch.filter(pa.array(passes(bits, batch.column(2).to_numpy())))
         sets = [shingle_set(text, k, hasher).tobytes() for text in batch.column(1).to_pylist()]
         yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["rep", "tokens"])
 
@@ -237,6 +244,16 @@ def chunk_forest(ids: np.ndarray, positions: np.ndarray, sets: list[np.ndarray],
     return edges
 
 
+def _pairs_of_chunks(rows: DataFrame, key: str, forest) -> DataFrame:
+    """forest() over the rows of each key (key, rep, pos, tokens, length, weight): whole if small enough for two chunks, else each pair of its chunks."""
+    whole = (F.col("length") <= 2 * CHUNK) & (F.col("weight") <= 2 * TOKENS)
+    cut = rows.withColumn("chunks", F.when(whole, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("length") / CHUNK), F.ceil(F.col("weight") / TOKENS))).cast("long")).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    zero = F.lit(0).cast("long")
+    others = F.when(F.col("chunks") == 1, F.array(zero)).otherwise(F.filter(F.sequence(zero, F.col("chunks") - 1), lambda d: d != F.col("c")))
+    cut = cut.withColumn("d", F.explode(others)).select(key, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "rep", "pos", "tokens")
+    return cut.groupBy(key, "lo", "hi").applyInPandas(forest, "a long, b long")
+
+
 def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -257,26 +274,49 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
 
     short = postings.where(F.col("length") <= SHORT)
     x, y = short.alias("x"), short.alias("y")
-    need = f"{num} * (x.n + y.n)"
-    pairs = x.join(y, F.expr(f"x.token = y.token and x.rep < y.rep and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {num + den} * least(x.n - x.pos, y.n - y.pos) >= {need}"))
-    pairs, _ = materialise(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    # A shared token at these positions leaves room for the smaller head, itself and the smaller tail; sizes must be near.
+    room = f"{num + den} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {num} * (x.n + y.n)"
+    shares = x.join(y, F.expr(f"x.token = y.token and x.rep < y.rep and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {room}"))
+    shares = shares.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("shared"), F.max(F.expr("least(x.n - x.pos, y.n - y.pos)")).alias("tail"))
+    # Beyond the tokens shared by both prefixes, a pair has at most one suffix in common; tokens of long lists may be shared too.
+    crowded = postings.where(F.col("length") > SHORT).groupBy("rep").agg(F.count("*").alias("crowded"))
+    shares = shares.join(crowded.withColumnRenamed("rep", "a").withColumnRenamed("crowded", "ca"), "a", "left").join(crowded.withColumnRenamed("rep", "b").withColumnRenamed("crowded", "cb"), "b", "left")
+    suffix = F.expr(f"greatest(ceil(na * {num} / {den}), ceil(nb * {num} / {den})) - 1")
+    need = num * (F.col("na") + F.col("nb"))
+    hidden = F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
+    first = (num + den) * F.col("tail") >= need  # if the first shared token is not in a long list
+    kept = ((num + den) * (F.col("shared") + hidden + suffix) >= need) & (first | (hidden > 0))
+    pairs, _ = materialise(shares.where(kept).select("a", "b"))
     long = postings.where(F.col("length") > SHORT)
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(long.select(F.col("rep").alias("doc_id"))).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
-    sets, _ = materialise(texts.mapInArrow(lambda it: _sets(it, k), "rep long, tokens binary").where(F.length("tokens") > 0))
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    links = both.mapInArrow(lambda it: _verify(it, num, den), "a long, b long")
-
-    def forest(key, frame: pd.DataFrame) -> pd.DataFrame:
+    # Sets that some chain of candidates connects meet in one group if they are few, each sent there once.
+    owners = long.groupBy("token").agg(F.min("rep").alias("owner"))
+    stars = long.join(owners, "token").where("rep <> owner").select(F.col("owner").alias("a"), F.col("rep").alias("b")).distinct()
+    joined = components(pairs.unionByName(stars))
+    members = joined.select(F.col("v").alias("rep"), F.col("component").alias("crowd")).unionByName(joined.select(F.col("component").alias("rep"), F.col("component").alias("crowd")).distinct())
+    members = members.join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
+    members = members.join(members.groupBy("crowd").agg(F.count("*").alias("crowd_size"), F.sum("n").alias("weight")), "crowd").drop("n")
+    members, _ = materialise(members)
+    # Sets are made again where the texts are read; the bitmap keeps texts that no list needs from being shingled or shuffled.
+    bits = docs.sparkSession.sparkContext.broadcast(slot_filter(members, F.xxhash64("rep")))
+    texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    sets = texts.mapInArrow(lambda it: _sets(it, k, bits.value), "rep long, tokens binary").where(F.length("tokens") > 0)
+    sets, _ = materialise(sets.join(members, "rep"))
+
+    def forest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("rep")
         edges = chunk_forest(frame["rep"].to_numpy(np.int64), frame["pos"].to_numpy(np.int64), [np.frombuffer(v, np.uint64) for v in frame["tokens"]], num, den)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    chunked = long.join(sets, "rep").withColumns({"chunks": F.ceil(F.col("length") / CHUNK).cast("long")}).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-    others = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda d: d != F.col("c")))
-    chunked = chunked.withColumn("d", F.explode(others)).select("token", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "rep", "pos", "tokens")
-    links = links.unionByName(chunked.groupBy("token", "lo", "hi").applyInPandas(forest, "a long, b long"))
+    crowds = sets.where(F.col("crowd_size") <= WHOLE)
+    links = _pairs_of_chunks(crowds.select("crowd", "rep", F.lit(0).cast("long").alias("pos"), "tokens", F.col("crowd_size").alias("length"), "weight"), "crowd", forest)
+
+    # Crowds beyond that: short lists pair by pair, long ones by pairs of chunks.
+    large = sets.where(F.col("crowd_size") > WHOLE).select("rep", "tokens")
+    left = pairs.join(large.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.join(large.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    links = links.unionByName(both.mapInArrow(lambda it: _verify(it, num, den), "a long, b long"))
+    listed = long.join(large, "rep").select("token", "rep", F.col("pos").cast("long").alias("pos"), "tokens", "length", F.lit(0).cast("long").alias("weight"))
+    links = links.unionByName(_pairs_of_chunks(listed, "token", forest))
 
     labels = components(links)
     found = classes.drop("prefix").join(labels, F.col("rep") == F.col("v"), "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))

@@ -75,12 +75,13 @@ def test_jaccard_join(spark, k, num):
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()], k, num, 100)
 
 
-@pytest.mark.parametrize("whole", [1000, 20])
-def test_jaccard_join_of_a_large_crowd(spark, monkeypatch, whole):
+@pytest.mark.parametrize(("whole", "tokens"), [(1000, 10**6), (1000, 1000), (20, 10**6)])
+def test_jaccard_join_of_a_large_crowd(spark, monkeypatch, whole, tokens):
     """Short lists, crowds and chunks of a few sets, so that every path runs."""
     monkeypatch.setattr(ngram_jaccard, "SHORT", 4)
     monkeypatch.setattr(ngram_jaccard, "CHUNK", 8)
     monkeypatch.setattr(ngram_jaccard, "WHOLE", whole)
+    monkeypatch.setattr(ngram_jaccard, "TOKENS", tokens)
     rng, base, rows = random.Random(3), [f"b{i}" for i in range(80)], []
     for i in range(90):
         w = list(base)
@@ -253,11 +254,11 @@ def test_decontamination(spark, odd, empty):
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "two words"), (5, "q1 q2 q3 q4 q5 q6 q7 zz")], "item_id long, text string")
     rng = random.Random(1)
     noise = lambda n: " ".join(f"n{rng.randrange(10**6)}" for _ in range(n))
-    docs = spark.createDataFrame([(1, f"{noise(3000)} {item} {noise(3000)}"), (2, noise(500)), (3, f"{noise(10)} {item[:60]}"), (4, None), (5, "Two WORDS"), (6, item.replace("q10", "zz"))], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, f"{noise(3000)} {item} {noise(3000)}"), (2, noise(500)), (3, f"{noise(10)} {item[:40]}"), (4, None), (5, "Two WORDS"), (6, item.replace("q10", "zz"))], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.contained_items(docs, bench).collect()}
-    assert got == {(1, 1): 1.0, (5, 4): 1.0} or (6, 1) in got
+    assert got == {(1, 1): 1.0, (5, 4): 1.0}
     kept = {r.doc_id for r in decontaminate.without_benchmark(docs, bench).collect()}
-    assert kept == {2, 3, 4, 6} - ({6} if (6, 1) in got else set())
+    assert kept == {2, 3, 4, 6}
     assert decontaminate.contained_items(odd, bench.limit(0)).count() == 0 and decontaminate.contained_items(empty, bench).count() == 0
     assert decontaminate.without_benchmark(odd, bench).columns == odd.columns
 
