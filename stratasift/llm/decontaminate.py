@@ -1,16 +1,18 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 After LSH Ensemble (Zhu et al., VLDB 2016): benchmark items are partitioned by size, so that
-inside a partition containment converts to a Jaccard threshold without much loss. A long
-document would drown a short item, so for each partition it is read through half-overlapping
-windows of twice the partition's largest item: an item's passage lies whole in one of them,
-and the Jaccard similarity of window and item stays high. An item and a window are a
-candidate if any of the partition's bands of MinHash values agree; candidates are verified by
-exact containment of the item's distinct word shingles in the whole document.
+inside a partition containment converts to a Jaccard threshold without much loss. A partition's
+largest item is at most RATIO times its smallest, and there are as many partitions as the
+sizes need. A long document would drown a short item, so for each partition it is read through
+half-overlapping windows of twice the partition's largest item: an item's passage lies whole in
+one of them, and the Jaccard similarity of window and item is 1 / (2 * RATIO) at least (a bit
+less for items found in part). An item and a window are a candidate if any of the partition's
+bands of MinHash values agree; candidates are verified by exact containment of the item's
+distinct word shingles in the whole document.
 
 The benchmark is indexed in groups of at most GROUP items, each a broadcast of bounded size;
 documents are mapped in place and never shuffled. Only windows that hold a shingle which is
-some item's minimum are sketched: no other window can agree with any band.
+the minimum of some item of the partition are sketched: no other window can agree with any band.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import types as T
 
 from stratasift.llm.common import WordHasher, mix64, window_hashes, words_of
 
-#: Hash functions (bands of one row), size partitions, and most items in one broadcast index.
-FUNCTIONS, PARTITIONS, GROUP = 96, 4, 20_000
+#: Hash functions (bands of one row), largest to smallest item of a partition, and most items in one broadcast index.
+FUNCTIONS, RATIO, GROUP = 96, 2, 20_000
 SEEDS = mix64(np.arange(1, FUNCTIONS + 1, dtype=np.uint64))
 
 
@@ -38,6 +40,11 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
         return mix64(low ^ SEEDS)
 
 
+def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Mask of the values that a sorted table, not empty, holds."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
 class ItemIndex:
     """Size-partitioned MinHash index of (item_id, text) pairs; items without words are left out."""
 
@@ -47,13 +54,13 @@ class ItemIndex:
         kept = sorted((x for x in kept if len(x[1])), key=lambda x: len(x[1]))
         self.ids = [i for i, _ in kept]
         self.sets = [s for _, s in kept]
-        self.parts: list[tuple[int, np.ndarray, np.ndarray]] = []
-        minimal = []
-        for cut in np.array_split(np.arange(len(kept)), PARTITIONS):
-            if not len(cut):
-                continue
-            keys, owners = [], []
-            for n in cut:
+        self.parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+        start = 0
+        while start < len(kept):
+            end = int(np.searchsorted(sizes, RATIO * sizes[start], "right"))
+            keys, owners, minimal = [], [], []
+            for n in range(start, end):
                 s = self.sets[n]
                 keys.append(sketch(s))
                 owners.append(np.full(FUNCTIONS, n))
@@ -61,20 +68,21 @@ class ItemIndex:
                     minimal.append(np.unique([s[mix64(s + seed).argmin()] for seed in SEEDS]))
             keys, owners = np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(keys, kind="stable")
-            self.parts.append((len(self.sets[cut[-1]]), keys[order], owners[order]))
-        self.minimal = np.unique(np.concatenate(minimal)) if minimal else np.empty(0, np.uint64)
+            self.parts.append((int(sizes[end - 1]), keys[order], owners[order], np.unique(np.concatenate(minimal))))
+            start = end
+        self.minimal = np.unique(np.concatenate([m for *_, m in self.parts])) if self.parts else np.empty(0, np.uint64)
 
     def candidates(self, shingles: np.ndarray) -> set[int]:
         """Numbers of the items of which a window of the shingle sequence has an equal band."""
         if not len(self.minimal) or not len(shingles):
             return set()
-        at = np.minimum(np.searchsorted(self.minimal, shingles), len(self.minimal) - 1)
-        hits = np.flatnonzero(self.minimal[at] == shingles)
+        hits = np.flatnonzero(among(shingles, self.minimal))
         found: set[int] = set()
         if not len(hits):
             return found
-        for largest, keys, owners in self.parts:
-            for w in np.unique(np.concatenate([hits // largest, np.maximum(hits // largest - 1, 0)])):
+        for largest, keys, owners, minimal in self.parts:
+            own = hits[among(shingles[hits], minimal)]
+            for w in np.unique(np.concatenate([own // largest, np.maximum(own // largest - 1, 0)])):
                 bands = sketch(shingles[w * largest : (w + 2) * largest])
                 lo, hi = np.searchsorted(keys, bands, "left"), np.searchsorted(keys, bands, "right")
                 for a, b in zip(lo, hi):
@@ -88,8 +96,7 @@ class ItemIndex:
             whole = np.unique(shingles)
             for n in sorted(numbers):
                 s = self.sets[n]
-                at = np.minimum(np.searchsorted(whole, s), len(whole) - 1)
-                found = int((whole[at] == s).sum())
+                found = int(among(s, whole).sum())
                 if den * found >= num * len(s):
                     out.append((self.ids[n], len(s), found))
         return out

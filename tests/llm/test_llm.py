@@ -263,6 +263,29 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.without_benchmark(odd, bench).columns == odd.columns
 
 
+def test_decontamination_of_all_sizes(spark):
+    rng = random.Random(7)
+    noise = lambda n: [f"n{rng.randrange(10**7)}" for _ in range(n)]
+    sizes = [*range(4, 64), 80, 150, 400, 1000, 2500, 5000]  # few are long: a quarter of the items holds 48 to 5000 words
+    items = [(n, [f"i{n}w{j}" for j in range(size)]) for n, size in enumerate(sizes)]
+    docs = []
+    for n, w in items:
+        cut = w[: max(1, len(w) * 17 // 20)]
+        for passage in (w, cut, w[: len(w) // 2]):
+            docs.append((len(docs), " ".join(noise(rng.randrange(9000)) + passage + noise(9000))))
+    bench = [(n, " ".join(w)) for n, w in items]
+    sets = {n: shingles(t, 5) for n, t in bench}
+    want = set()
+    for d, text in docs:
+        whole = shingles(text, 5)
+        want |= {(d, n, len(s), len(s & whole)) for n, s in sets.items() if 100 * len(s & whole) >= 80 * len(s)}
+    frame, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert len(want) > len(bench)
+    assert {tuple(r)[:4] for r in decontaminate.contained_items(frame, items).collect()} == want
+    clean = {r.doc_id for r in decontaminate.without_benchmark(frame, items).collect()}
+    assert clean == {d for d, _ in docs} - {d for d, *_ in want}
+
+
 def test_quality_classifier(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
