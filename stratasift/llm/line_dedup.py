@@ -1,16 +1,18 @@
 """Line dedup with a segment-partition edit join.
 
 A line is removed where an earlier line, by (doc_id, line number), is equal or within TAU
-edits of UTF-8 bytes. Equal lines meet by hash. For near ones (PassJoin, Li et al., VLDB 2011)
+edits of code points; within SHORT_TAU where one of the two is shorter than NEAR_LEAST bytes,
+since two edits tell short sentences apart. Equal lines meet by hash. For near ones (PassJoin, Li et al., VLDB 2011)
 each line is split into TAU + 1 segments of even length; within TAU edits one segment stays
 whole, so a line probes the segments of lines of its length down to TAU less with the
 substrings that multi-match-aware selection leaves. Substring hashes of a whole batch come
-from one rolling prefix sum in numpy. Candidates are verified by a banded bit-parallel
+from one rolling prefix sum in numpy. Pairs with a short line have segments of their own, by
+SHORT_TAU. Candidates are verified by a banded bit-parallel
 automaton on the lines themselves.
 
 Hot segments (a page of near copies) are found by a bounded list of locally frequent keys;
 their lines are cut into chunks and each pair of chunks is a group of its own, where
-histograms of bytes and byte pairs rule out most pairs before the automaton runs. A key
+histograms of code points and their pairs rule out most pairs before the automaton runs. A key
 that the list misses is joined like any other: slower, with the same result.
 """
 
@@ -27,8 +29,8 @@ from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
 from stratasift.llm.common import materialise, mix64, passes, slot_filter
 
-#: Edits; least bytes of a line that is compared at all, and for near matches.
-TAU, LEAST, NEAR_LEAST = 2, 20, 40
+#: Edits; least bytes of a line that is compared at all, and for near matches by TAU; edits of shorter lines.
+TAU, LEAST, NEAR_LEAST, SHORT_TAU = 2, 20, 40, 1
 #: Rows of a key from which it is hot, most hot keys that tasks share, lines in a chunk.
 HOT, HOT_KEYS, CHUNK = 64, 32_768, 400
 _P = 0x9E3779B97F4A7C15 | 1
@@ -39,23 +41,31 @@ def lines_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
 
+def points(line: bytes) -> np.ndarray:
+    """The code points of UTF-8."""
+    return np.frombuffer(line, np.uint8) if line.isascii() else np.frombuffer(line.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def edits_allowed(a: bytes, b: bytes, tau: int, near_least: int) -> int:
+    return tau if min(len(a), len(b)) >= near_least else min(tau, SHORT_TAU)
+
+
 def within(a: bytes, b: bytes, tau: int) -> bool:
-    """Whether a becomes b by at most tau insertions, deletions or substitutions of bytes.
+    """Whether a becomes b by at most tau insertions, deletions or substitutions of code points.
 
     Level d of the automaton holds a bit for each diagonal of the band that d edits reach; a
-    byte of b moves all diagonals of a level at once.
+    code point of b moves all diagonals of a level at once.
     """
-    if abs(len(a) - len(b)) > tau:
+    x, y = points(a), points(b)
+    if abs(len(x) - len(y)) > tau:
         return False
-    n = min(len(a), len(b))
-    x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
-    differ = np.flatnonzero(x != y)
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
     head = int(differ[0]) if len(differ) else n
-    a, b, n = a[head:], b[head:], n - head
-    x, y = np.frombuffer(a, np.uint8)[::-1][:n], np.frombuffer(b, np.uint8)[::-1][:n]
-    differ = np.flatnonzero(x != y)
+    x, y, n = x[head:], y[head:], n - head
+    differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
     tail = int(differ[0]) if len(differ) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    a, b = x[: len(x) - tail].tolist(), y[: len(y) - tail].tolist()
     if not a or not b:
         return max(len(a), len(b)) <= tau
     places: dict[int, int] = {}
@@ -64,7 +74,7 @@ def within(a: bytes, b: bytes, tau: int) -> bool:
     band = (1 << (2 * tau + 1)) - 1
     levels = [0] * (tau + 1)
     for d in range(tau + 1):
-        levels[d] = ((1 << (d + 1)) - 1) << tau & band  # the first d bytes of a deleted
+        levels[d] = ((1 << (d + 1)) - 1) << tau & band  # the first d points of a deleted
     for j, c in enumerate(b):
         match = places.get(c, 0) >> j & band
         before = levels
@@ -77,7 +87,7 @@ def within(a: bytes, b: bytes, tau: int) -> bool:
 
 
 def segments(length: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(start, size) of the tau + 1 segments of lines of given lengths; the last ones are a byte longer."""
+    """(start, size) of the tau + 1 segments of lines of given lengths; the last ones are one longer."""
     short, longer = length // (tau + 1), length % (tau + 1)
     out, start = [], np.zeros_like(length)
     for i in range(tau + 1):
@@ -88,10 +98,14 @@ def segments(length: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]
 
 
 def segment_keys(lines: list[bytes], tau: int, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, line numbers) of the segments of lines, or of the substrings that they probe with."""
+    """(keys, line numbers) of the segments of lines, or of the substrings that they probe with, by code points."""
     length = np.array([len(x) for x in lines], dtype=np.int64)
+    joined = b"".join(lines)
+    if not joined.isascii():
+        begun = np.concatenate([[0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)])
+        length = np.diff(begun[np.concatenate([[0], np.cumsum(length)])])
     base = np.concatenate([[0], np.cumsum(length)])[:-1]
-    data = np.frombuffer(b"".join(lines), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    data = points(joined).astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
         power = np.full(len(data) + 1, _P, dtype=np.uint64)
         inverse = np.full(len(data) + 1, _PINV, dtype=np.uint64)
@@ -115,6 +129,19 @@ def segment_keys(lines: list[bytes], tau: int, probe: bool) -> tuple[np.ndarray,
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def near_keys(lines: list[bytes], tau: int, near_least: int, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """segment_keys of long lines by tau, and by SHORT_TAU of short ones and of those that one edit (4 bytes) makes short."""
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    keys, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for chosen, edits, salt in ((size >= near_least, tau, 0), (size < near_least + 4, min(tau, SHORT_TAU), 0x5851F42D4C957F2D)):
+        own = np.flatnonzero(chosen)
+        if len(own):
+            k, r = segment_keys([lines[i] for i in own], edits, probe)
+            keys.append(mix64(k ^ np.uint64(salt)) if salt else k)
+            rows.append(own[r])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
 def _distinct_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Lines of some bytes at least, distinct within a bounded window of the task, with their ids."""
     seen: set[int] = set()
@@ -136,7 +163,7 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[t
         yield held, np.array(ids, dtype=np.uint64).view(np.int64)
 
 
-def _hot_keys(docs: DataFrame, tau: int, least: int) -> np.ndarray:
+def _hot_keys(docs: DataFrame, tau: int, least: int, near_least: int) -> np.ndarray:
     """Keys that many segments and probes share within a task, most shared first, HOT_KEYS of them at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +179,7 @@ def _hot_keys(docs: DataFrame, tau: int, least: int) -> np.ndarray:
             held.clear()
 
         for lines, _ in _distinct_lines(batches, least):
-            held += [segment_keys(lines, tau, False)[0], segment_keys(lines, tau, True)[0]]
+            held += [near_keys(lines, tau, near_least, False)[0], near_keys(lines, tau, near_least, True)[0]]
             if sum(map(len, held)) > 3_000_000:
                 fold(2)
         fold(3)
@@ -164,11 +191,11 @@ def _hot_keys(docs: DataFrame, tau: int, least: int) -> np.ndarray:
     return np.sort(np.array([r.key for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _keys(docs: DataFrame, tau: int, least: int, probe: bool, hot, want_hot: bool) -> DataFrame:
+def _keys(docs: DataFrame, tau: int, least: int, near_least: int, probe: bool, hot, want_hot: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = hot.value
         for lines, ids in _distinct_lines(batches, least):
-            keys, rows = segment_keys(lines, tau, probe)
+            keys, rows = near_keys(lines, tau, near_least, probe)
             if len(table):
                 at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
                 chosen = (table[at] == keys) == want_hot
@@ -193,19 +220,20 @@ def _texts(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
 
 
 def _histograms(lines: list[bytes]) -> np.ndarray:
-    """Counts of bytes and of byte pairs by hash; an edit changes at most two of the first and four of the second."""
+    """Counts of code points and of their pairs by hash; an edit changes at most two of the first and four of the second."""
     out = np.zeros((len(lines), 192), dtype=np.int32)
     for r, line in enumerate(lines):
-        x = np.frombuffer(line, np.uint8).astype(np.int64)
+        x = points(line).astype(np.int64)
         out[r, :64] = np.bincount(x & 63, minlength=64)
         out[r, 64:] = np.bincount((x[1:] * 31 + x[:-1]) & 127, minlength=128)
     return out
 
 
-def near_pairs(lines: list[bytes], tau: int) -> list[tuple[int, int]]:
-    """Pairs (i, j), i < j, of lines within tau edits; histograms rule most out."""
-    order = np.argsort([len(x) for x in lines], kind="stable")
-    lengths = np.array([len(lines[i]) for i in order])
+def near_pairs(lines: list[bytes], tau: int, near_least: int = 0) -> list[tuple[int, int]]:
+    """Pairs (i, j), i < j, of lines within the edits they are allowed, tau at most; histograms rule most out."""
+    lengths = np.array([len(points(x)) for x in lines])
+    order = np.argsort(lengths, kind="stable")
+    lengths = lengths[order]
     counts = _histograms([lines[i] for i in order])
     out = []
     for x in range(len(order)):
@@ -215,14 +243,15 @@ def near_pairs(lines: list[bytes], tau: int) -> list[tuple[int, int]]:
         if len(y):
             y = y[np.abs(counts[y, 64:] - counts[x, 64:]).sum(axis=1) <= 4 * tau]
         for j in y:
-            if within(lines[order[x]], lines[order[j]], tau):
+            a, b = lines[order[x]], lines[order[j]]
+            if within(a, b, edits_allowed(a, b, tau, near_least)):
                 out.append((min(order[x], order[j]), max(order[x], order[j])))
     return out
 
 
-def _verified(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], tau: int, near_least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        near = [within(x, y, tau) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        near = [within(x, y, edits_allowed(x, y, tau, near_least)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         mask = pa.array(near, pa.bool_())
         yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
@@ -249,17 +278,17 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
     lines, _ = materialise(docs.select("doc_id", "text").mapInArrow(number, "doc_id long, line_no long, id long, check long"))
     firsts, _ = materialise(lines.groupBy("id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
 
-    hot = spark.sparkContext.broadcast(_hot_keys(docs, tau, near_least))
-    index, probe = _keys(docs, tau, near_least, False, hot, False), _keys(docs, tau, near_least, True, hot, False)
+    hot = spark.sparkContext.broadcast(_hot_keys(docs, tau, least, near_least))
+    index, probe = _keys(docs, tau, least, near_least, False, hot, False), _keys(docs, tau, least, near_least, True, hot, False)
     i, p = index.hint("shuffle_hash").alias("i"), probe.alias("p")
     pairs = i.join(p, F.expr("i.key = p.key and i.id <> p.id")).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct()
     pairs, _ = materialise(pairs)
-    crowd = _keys(docs, tau, near_least, False, hot, True).unionByName(_keys(docs, tau, near_least, True, hot, True)).distinct()
+    crowd = _keys(docs, tau, least, near_least, False, hot, True).unionByName(_keys(docs, tau, least, near_least, True, hot, True)).distinct()
     crowd, _ = materialise(crowd)
     wanted, _ = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowd.select("id")).distinct())
-    texts, _ = materialise(_texts(docs, wanted, near_least))
+    texts, _ = materialise(_texts(docs, wanted, least))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
-    links = both.mapInArrow(lambda it: _verified(it, tau), "a long, b long")
+    links = both.mapInArrow(lambda it: _verified(it, tau, near_least), "a long, b long")
 
     sizes = crowd.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     chunked = crowd.join(sizes, "key").join(texts, "id").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")))
@@ -269,7 +298,7 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
     def later(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         # One pair is enough for each line that has an earlier one.
         frame = frame.sort_values(["doc_id", "line_no"], ignore_index=True)
-        earlier = {j: i for i, j in sorted(near_pairs(frame["line"].tolist(), tau), reverse=True)}
+        earlier = {j: i for i, j in sorted(near_pairs(frame["line"].tolist(), tau, near_least), reverse=True)}
         ids = frame["id"].to_numpy()
         return pd.DataFrame({"a": ids[list(earlier.values())], "b": ids[list(earlier)]}, dtype="int64")
 
@@ -286,8 +315,8 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
 def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_least: int = NEAR_LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with the text cut, and n_lines, n_copies, n_near: lines before, copies and near matches removed.
 
-    Lines are split at line feeds; lines of fewer than `least` bytes stay, and those of fewer
-    than near_least bytes are compared for equality only. The first line of several equal or
+    Lines are split at line feeds; lines of fewer than `least` bytes stay. Near are lines within
+    tau edits of code points, or SHORT_TAU if one has fewer than near_least bytes. The first line of several equal or
     near ones, by doc_id and line number, stays; a line goes if any earlier line is near it,
     whether that one stays or not. Rows that share a doc_id count as one document: their
     lines of one number and text are one line. Rows of a null doc_id stay as they are; a null
@@ -327,7 +356,8 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_least:
     return joined.mapInArrow(cut, schema)
 
 
-#: DuckDB's form: equality and distance between all distinct lines of about one length. levenshtein() counts bytes.
+#: DuckDB's form: equality and distance between all distinct lines of about one length. It is narrower than the operator:
+#: levenshtein() counts bytes, and lines of 20 to 39 bytes are compared for equality only.
 ORACLE_SQL = r"""
 with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents),
 n as (select *, octet_length(encode(line)) as b from l),

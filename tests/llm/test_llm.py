@@ -222,6 +222,28 @@ def test_line_dedup(spark, monkeypatch):
         assert got == expected
 
 
+def test_line_dedup_of_short_and_accented_lines(spark, monkeypatch):
+    pairs = [  # two lines, and whether the second goes
+        ("Thwhesnd esator whshing and hewh.", "Thwhesnd, esator whshing and hewh.", True), ("one edit of twenty by", "one edit of twenty b", True), ("two edits of a short l", "two edjts of a shjrt l", False),
+        ("a line of thirty-nine bytes, as counted", "a line of thirty-nine bytes, as counted.", True), ("a short line and two edits to forty it.", "a short line and twoo edits to forty iit.", False),
+        ("un élève près de la fenêtre a été là, hier soir", "un eleve près de la fenêtre a été là, hier soir", True), ("un autre élève à côté de la porte fermée à clé", "un autre eleve a côté de la porte fermée à clé", False),
+        ("今天天气很好我们一起去公园散步", "今日天气很好我们一起去公圆散步", True), ("明天他们坐火车去北京", "明天他们坐汽车去北京", True), ("明天她们坐飞机来上海", "明天她们坐轮船来上海", False),
+        ("this is a line with 😀 at some place within it", "this is a line with 😁 at some place within", False), ("and this is a line with 😀 at some place in it", "and this is a line with 😁 at some place in i", True),
+    ]
+    chars = "abé天地😀"
+    rng = random.Random(4)
+    for _ in range(2000):
+        a = [rng.choice(chars) for _ in range(rng.randrange(20))]
+        b = [x for c in a for x in rng.choices(([c], [], [c, rng.choice(chars)], [rng.choice(chars)]), (12, 1, 1, 1))[0]]
+        tau = rng.randrange(4)
+        assert line_dedup.within("".join(a).encode(), "".join(b).encode(), tau) == (distance(a, b) <= tau)
+    rows = [(n, x) for k, pair in enumerate(pairs) for n, x in ((2 * k, pair[0]), (2 * k + 1, pair[1]))]
+    for hot in (64, 2):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        got = {r.doc_id: r.n_near for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+        assert [got[2 * k + 1] == 1 for k in range(len(pairs))] == [gone for *_, gone in pairs] and not any(got[2 * k] for k in range(len(pairs)))
+
+
 def test_line_dedup_odd_rows(odd, empty):
     out = line_dedup.dedup_lines(odd)
     got = {r.doc_id: r for r in out.collect()}
