@@ -111,13 +111,18 @@ def find_spans(texts: DataFrame) -> DataFrame:
     phrases = votes.where("is_phrase and votes = length - 1").select("row", "template", "label", "is_phrase", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("length") - 1).alias("last"), F.lit(1.0).alias("cover"))
 
     # Neighbouring diagonals of one template are merged while they are SHIFT apart at most and their text spans are close.
+    # A run too long for one copy, as of repeats of a short notice, is read as the SHIFT diagonals from each of its own on.
     seen = Window.partitionBy("row", "template").orderBy("diagonal", "first")
     near = votes.where("not is_phrase")
     apart = (F.col("diagonal") - F.lag("diagonal").over(seen) > SHIFT) | (F.col("first") - F.lag("last").over(seen) > F.col("length"))
     near = near.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(seen))
-    merged = near.groupBy("row", "template", "label", "length", "run").agg(F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"), F.min("diagonal").alias("d0"), F.max("diagonal").alias("d1"))
+    run = Window.partitionBy("row", "template", "run")
+    ahead = run.orderBy("diagonal").rangeBetween(0, SHIFT)
+    near = near.withColumn("long", F.max("last").over(run) + K - F.min("first").over(run) > F.col("length") + 2 * SHIFT)
+    ends = lambda f, c: F.when(F.col("long"), f(c).over(ahead)).otherwise(f(c).over(run))
+    merged = near.select("row", "template", "label", "length", "run", ends(F.min, "first").alias("first"), (ends(F.max, "last") + K - 1).alias("last"), ends(F.min, "diagonal").alias("d0"), ends(F.max, "diagonal").alias("d1")).distinct()
     inside = merged.join(hits.withColumnRenamed("template", "t").withColumnRenamed("row", "r"), (F.col("row") == F.col("r")) & (F.col("template") == F.col("t")) & F.col("diagonal").between(F.col("d0"), F.col("d1")))
-    cover = inside.groupBy("row", "template", "label", "length", "run", "first", "last").agg((F.count_distinct("j") / (F.first("length") - K + 1)).alias("cover"))
+    cover = inside.groupBy("row", "template", "label", "length", "run", "d0", "first", "last").agg((F.count_distinct("j") / (F.first("length") - K + 1)).alias("cover"))
     whole = cover.where((F.col("cover") >= LEAST_COVER) & (F.col("last") - F.col("first") + 1 <= F.col("length") + 2 * SHIFT))
     return phrases.unionByName(whole.select("row", "template", "label", F.lit(False).alias("is_phrase"), "first", "last", "cover"))
 

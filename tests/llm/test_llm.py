@@ -271,6 +271,13 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_of_repeated_notices(spark):
+    notice = "all rights reserved"
+    rows = [(n, " ".join(["before it", *[notice] * n, "and after"])) for n in (1, 2, 3, 4, 5, 40)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels and {(r.labels, r.score) for r in got.values()} == {(got[1].labels, 1.0)}
+
+
 def test_decontamination(spark, odd, empty):
     item = " ".join(f"q{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "two words"), (5, "q1 q2 q3 q4 q5 q6 q7 zz")], "item_id long, text string")
