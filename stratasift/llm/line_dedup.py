@@ -1,19 +1,22 @@
 """Line dedup with a segment-partition edit join.
 
-A line is removed where an earlier line, by (doc_id, line number), is equal or within TAU
-edits of code points; within SHORT_TAU where one of the two is shorter than NEAR_LEAST bytes,
-since two edits tell short sentences apart. Equal lines meet by hash. For near ones (PassJoin, Li et al., VLDB 2011)
-each line is split into TAU + 1 segments of even length; within TAU edits one segment stays
-whole, so a line probes the segments of lines of its length down to TAU less with the
-substrings that multi-match-aware selection leaves. Substring hashes of a whole batch come
-from one rolling prefix sum in numpy. Pairs with a short line have segments of their own, by
-SHORT_TAU. Candidates are verified by a banded bit-parallel
-automaton on the lines themselves.
-
-Hot segments (a page of near copies) are found by a bounded list of locally frequent keys;
-their lines are cut into chunks and each pair of chunks is a group of its own, where
-histograms of code points and their pairs rule out most pairs before the automaton runs. A key
-that the list misses is joined like any other: slower, with the same result.
+A line is removed where an earlier line, by (doc_id, line number), is equal, or near: within
+TAU edits of code points, or SHORT_TAU where one of the two is shorter than NEAR_LEAST bytes,
+since two edits tell short sentences apart. Lines under LEAST bytes are near to none ("Part 1"
+and "Part 2" are two headings), but go where they are equal. Equal lines meet by hash. For near
+ones (PassJoin, Li et al., VLDB 2011) each line is split into TAU + 1 segments of even length;
+within TAU edits one segment stays whole, so a line probes the segments of lines of its length
+down to TAU less with the substrings that multi-match-aware selection leaves. Substring hashes
+of a whole batch come from one rolling prefix sum in numpy. Pairs with a short line have
+segments of their own, by SHORT_TAU. Candidates are verified by a banded bit-parallel automaton
+on the lines themselves.
+
+Hot segments (a page of near copies) are those with HOT lines over the whole table. Their lines
+are cut into chunks. Lines that find an earlier near line in their own chunk are decided; only
+the others travel on, to every chunk of the segment, where histograms of code points and their
+pairs rule out most pairs before the automaton runs. A crowd of near copies thus sends a few
+lines from chunk to chunk, whatever its size. The list of hot segments is bounded; a segment
+beyond it is joined like any other: slower, with the same result.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from stratasift.llm.common import materialise, mix64, passes, slot_filter
+from stratasift.llm.common import forget, materialise, mix64, passes, slot_filter
 
-#: Edits; least bytes of a line that is compared at all, and for near matches by TAU; edits of shorter lines.
+#: Edits; least bytes of a line that has near ones, and by TAU edits; edits of shorter lines.
 TAU, LEAST, NEAR_LEAST, SHORT_TAU = 2, 20, 40, 1
-#: Rows of a key from which it is hot, most hot keys that tasks share, lines in a chunk.
-HOT, HOT_KEYS, CHUNK = 64, 32_768, 400
+#: Lines of a segment from which it is hot, most hot segments that tasks share, lines in a chunk, guests of a chunk in one group.
+HOT, HOT_KEYS, CHUNK, GUESTS = 64, 32_768, 400, 4000
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -97,6 +100,24 @@ def segments(length: np.ndarray, tau: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _P and of its inverse; tables of ordinary batches are kept."""
+    if len(_powers[0]) < n:
+        made = []
+        for base in (_P, _PINV):
+            table = np.full(n, base, dtype=np.uint64)
+            table[0] = 1
+            with np.errstate(over="ignore"):
+                made.append(np.cumprod(table))
+        if n > 4_000_000:
+            return made[0], made[1]
+        _powers[:] = made
+    return _powers[0][:n], _powers[1][:n]
+
+
 def segment_keys(lines: list[bytes], tau: int, probe: bool) -> tuple[np.ndarray, np.ndarray]:
     """(keys, line numbers) of the segments of lines, or of the substrings that they probe with, by code points."""
     length = np.array([len(x) for x in lines], dtype=np.int64)
@@ -107,10 +128,7 @@ def segment_keys(lines: list[bytes], tau: int, probe: bool) -> tuple[np.ndarray,
     base = np.concatenate([[0], np.cumsum(length)])[:-1]
     data = points(joined).astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
-        power = np.full(len(data) + 1, _P, dtype=np.uint64)
-        inverse = np.full(len(data) + 1, _PINV, dtype=np.uint64)
-        power[0] = inverse[0] = 1
-        power, inverse = np.cumprod(power), np.cumprod(inverse)
+        power, inverse = powers(len(data) + 1)
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * power[:-1])])
 
         keys, rows = [], []
@@ -164,44 +182,30 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[t
 
 
 def _hot_keys(docs: DataFrame, tau: int, least: int, near_least: int) -> np.ndarray:
-    """Keys that many segments and probes share within a task, most shared first, HOT_KEYS of them at most."""
+    """Segments that HOT lines or more share over the whole table, most shared first, HOT_KEYS of them at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        held: list[np.ndarray] = []
-
-        def fold(least: int) -> None:
-            nonlocal keys, counts
-            k, c = np.unique(np.concatenate(held or [keys[:0]]), return_counts=True)
-            keys, where = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(where, weights=np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
-            keys, counts = keys[counts >= least], counts[counts >= least]
-            held.clear()
-
         for lines, _ in _distinct_lines(batches, least):
-            held += [near_keys(lines, tau, near_least, False)[0], near_keys(lines, tau, near_least, True)[0]]
-            if sum(map(len, held)) > 3_000_000:
-                fold(2)
-        fold(3)
-        top = np.flatnonzero(counts > 2)
-        top = top[np.argsort(-counts[top], kind="stable")[: HOT_KEYS // 2]]
-        yield pa.record_batch([pa.array(keys[top].view(np.int64)), pa.array(counts[top])], ["key", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT // 2).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
+            keys, counts = np.unique(near_keys(lines, tau, near_least, False)[0].view(np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(keys), pa.array(counts, pa.int64())], ["key", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
     return np.sort(np.array([r.key for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _keys(docs: DataFrame, tau: int, least: int, near_least: int, probe: bool, hot, want_hot: bool) -> DataFrame:
+def _keys(docs: DataFrame, tau: int, least: int, near_least: int, probes: list[bool], hot, want_hot: bool) -> DataFrame:
+    """(key, id) of the lines' segments (False) or probes (True) or both, those that are hot or the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = hot.value
-        for lines, ids in _distinct_lines(batches, least):
-            keys, rows = near_keys(lines, tau, near_least, probe)
-            if len(table):
-                at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-                chosen = (table[at] == keys) == want_hot
-            else:
-                chosen = np.full(len(keys), not want_hot)
-            yield pa.record_batch([pa.array(keys[chosen].view(np.int64)), pa.array(ids[rows[chosen]])], ["key", "id"])
+        for lines, ids in _distinct_lines(batches, least) if len(table) or not want_hot else ():
+            for probe in probes:
+                keys, rows = near_keys(lines, tau, near_least, probe)
+                if len(table):
+                    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+                    chosen = (table[at] == keys) == want_hot
+                    keys, rows = keys[chosen], rows[chosen]
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(ids[rows])], ["key", "id"])
 
     return docs.select("text").mapInArrow(run, "key long, id long")
 
@@ -229,15 +233,21 @@ def _histograms(lines: list[bytes]) -> np.ndarray:
     return out
 
 
-def near_pairs(lines: list[bytes], tau: int, near_least: int = 0) -> list[tuple[int, int]]:
-    """Pairs (i, j), i < j, of lines within the edits they are allowed, tau at most; histograms rule most out."""
+def near_pairs(lines: list[bytes], tau: int, near_least: int = 0, guests: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs (i, j), i < j, of lines within the edits they are allowed, tau at most; histograms rule most out.
+
+    With guests (a mask), only pairs of a guest and a line that is none.
+    """
     lengths = np.array([len(points(x)) for x in lines])
     order = np.argsort(lengths, kind="stable")
     lengths = lengths[order]
     counts = _histograms([lines[i] for i in order])
+    kind = guests[order] if guests is not None else None
     out = []
     for x in range(len(order)):
         y = np.arange(x + 1, int(np.searchsorted(lengths, lengths[x] + tau, "right")))
+        if kind is not None:
+            y = y[kind[y] != kind[x]]
         if len(y):
             y = y[np.abs(counts[y, :64] - counts[x, :64]).sum(axis=1) <= 2 * tau]
         if len(y):
@@ -262,110 +272,135 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
     near tells lines that only a near match removes from copies of an earlier line.
     """
     spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, numbers, one, two = [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
                 for n, line in enumerate(lines_of(text)):
-                    if len(line) >= least:
+                    if line and not line.isspace():
                         owner.append(r)
                         numbers.append(n)
                         one.append(xxh3_64_intdigest(line))
                         two.append(xxh3_128_intdigest(line) & 0x7FFFFFFFFFFFFFFF)
             yield pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(numbers, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(two, pa.int64())], ["doc_id", "line_no", "id", "check"])
 
-    lines, _ = materialise(docs.select("doc_id", "text").mapInArrow(number, "doc_id long, line_no long, id long, check long"))
+    lines, _ = materialise(docs.select("doc_id", "text").mapInArrow(number, f"doc_id {kind}, line_no long, id long, check long"))
     firsts, _ = materialise(lines.groupBy("id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
+    order = firsts.groupBy("id").agg(F.min("first").alias("first"))
 
     hot = spark.sparkContext.broadcast(_hot_keys(docs, tau, least, near_least))
-    index, probe = _keys(docs, tau, least, near_least, False, hot, False), _keys(docs, tau, least, near_least, True, hot, False)
-    i, p = index.hint("shuffle_hash").alias("i"), probe.alias("p")
+    # A line that stands in many tasks comes from each of them: one row a key and line is left where keys meet.
+    met = lambda probe: _keys(docs, tau, least, near_least, [probe], hot, False).repartition("key").dropDuplicates(["key", "id"])
+    i, p = met(False).hint("shuffle_hash").alias("i"), met(True).alias("p")
     pairs = i.join(p, F.expr("i.key = p.key and i.id <> p.id")).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct()
-    pairs, _ = materialise(pairs)
-    crowd = _keys(docs, tau, least, near_least, False, hot, True).unionByName(_keys(docs, tau, least, near_least, True, hot, True)).distinct()
-    crowd, _ = materialise(crowd)
-    wanted, _ = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowd.select("id")).distinct())
-    texts, _ = materialise(_texts(docs, wanted, least))
+    pairs, pairs_path = materialise(pairs)
+    crowd, crowd_path = materialise(_keys(docs, tau, least, near_least, [False, True], hot, True).distinct())
+    wanted, wanted_path = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowd.select("id")).distinct())
+    texts, texts_path = materialise(_texts(docs, wanted, least))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
     links = both.mapInArrow(lambda it: _verified(it, tau, near_least), "a long, b long")
 
+    # Hot segments: first inside chunks, then what has no earlier near line there as guests of the other chunks.
     sizes = crowd.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    chunked = crowd.join(sizes, "key").join(texts, "id").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    others = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda d: d != F.col("c")))
-    chunked = chunked.withColumn("d", F.explode(others)).join(firsts.groupBy("id").agg(F.min("first").alias("first")), "id").select("key", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "id", "line", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    chunked = crowd.join(sizes, "key").join(texts, "id").join(order, "id")
+    chunked = chunked.select("key", "id", "line", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("c"))
 
     def later(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         # One pair is enough for each line that has an earlier one.
-        frame = frame.sort_values(["doc_id", "line_no"], ignore_index=True)
-        earlier = {j: i for i, j in sorted(near_pairs(frame["line"].tolist(), tau, near_least), reverse=True)}
+        frame = frame.sort_values(["doc_id", "line_no", "id"], ignore_index=True)
+        guest = frame["guest"].to_numpy(bool) if "guest" in frame else None
+        earlier = {j: i for i, j in sorted(near_pairs(frame["line"].tolist(), tau, near_least, guest), reverse=True) if guest is None or guest[j]}
         ids = frame["id"].to_numpy()
         return pd.DataFrame({"a": ids[list(earlier.values())], "b": ids[list(earlier)]}, dtype="int64")
 
-    links = links.unionByName(chunked.groupBy("key", "lo", "hi").applyInPandas(later, "a long, b long"))
-    order = firsts.groupBy("id").agg(F.min("first").alias("first"))
+    own, own_path = materialise(chunked.groupBy("key", "c").applyInPandas(later, "a long, b long"))
+    several = chunked.where("chunks > 1")
+    undecided = several.join(own.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    undecided, undecided_path = materialise(undecided)
+    zero = F.lit(0).cast("long")
+    groups = undecided.groupBy("key").agg(F.ceil(F.count("*") / GUESTS).alias("groups"))
+    guests = undecided.join(groups, "key").withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")))
+    guests = guests.withColumn("d", F.explode(F.filter(F.sequence(zero, F.col("chunks") - 1), lambda d: d != F.col("c"))))
+    hosts = several.join(groups, "key").withColumn("g", F.explode(F.sequence(zero, F.col("groups") - 1))).withColumn("d", F.col("c"))
+    shared = ["key", "d", "g", "id", "line", "doc_id", "line_no"]
+    meeting = guests.select(*shared, F.lit(True).alias("guest")).unionByName(hosts.select(*shared, F.lit(False).alias("guest")))
+    links = links.unionByName(own).unionByName(meeting.groupBy("key", "d", "g").applyInPandas(later, "a long, b long"))
+
     ranked = links.join(order.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(order.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
-    near = ranked.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("near", F.lit(True))
-    decided = firsts.join(near, "id", "left").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    near, _ = materialise(ranked.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    for path in (pairs_path, crowd_path, wanted_path, texts_path, own_path, undecided_path):
+        forget(spark, path)
+    decided = firsts.join(near.withColumn("near", F.lit(True)), "id", "left").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
     out = lines.join(decided, ["id", "check"])
     copy = F.struct("doc_id", "line_no") != F.col("first")
     return out.where(copy | F.col("near")).select("doc_id", "line_no", "id", (F.col("near") & ~copy).alias("near"))
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_least: int = NEAR_LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with the text cut, and n_lines, n_copies, n_near: lines before, copies and near matches removed.
-
-    Lines are split at line feeds; lines of fewer than `least` bytes stay. Near are lines within
-    tau edits of code points, or SHORT_TAU if one has fewer than near_least bytes. The first line of several equal or
-    near ones, by doc_id and line number, stays; a line goes if any earlier line is near it,
-    whether that one stays or not. Rows that share a doc_id count as one document: their
-    lines of one number and text are one line. Rows of a null doc_id stay as they are; a null
-    text stays null. An empty table gives an empty result.
+    """All columns of docs with the text cut, and n_lines, n_copies, n_near, n_cut: lines before, copies and near matches removed, code points removed.
+
+    Lines are split at line feeds; lines without a word stay. Equal lines count at any
+    length; near are lines of `least` bytes or more within tau edits of code points, or
+    SHORT_TAU if one has fewer than near_least bytes. The first line of several equal or
+    near ones, by doc_id (numbers, strings or any other type that has an order) and line
+    number, stays; a line goes if any earlier line is near it, whether that one stays or
+    not. Rows that share a doc_id count as one document: their lines of one number and text
+    are one line. Rows of a null doc_id stay as they are; a null text stays null. Columns of
+    docs named like a new one are replaced by it. An empty table gives an empty result.
     """
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    new = ["n_lines", "n_copies", "n_near", "n_cut"]
+    docs = docs.drop(*(c for c in new if c not in (id_col, text_col)))
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     removed = removed_lines(source, tau, least, near_least)
     # A document's list is bounded by its own lines.
     lists = removed.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "id", "near")).alias("removed_lines__")).withColumnRenamed("doc_id", "removed_of__")
-    joined = docs.join(lists, F.col(id_col).cast("long") == F.col("removed_of__"), "left").drop("removed_of__")
+    joined = docs.join(lists, F.col(id_col) == F.col("removed_of__"), "left").drop("removed_of__")
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "n_lines", "n_copies", "n_near"]
-    schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_near")).schema
+    old = len(docs.columns)
+    names = [*docs.columns, *new]
+    schema = docs.select("*", *(F.lit(0).cast("long").alias(c) for c in new)).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names) - 3).to_pylist()):
+            for text, gone in zip(batch.column(at).to_pylist(), batch.column(old).to_pylist()):
                 lines = lines_of(text)
-                copies = near = 0
+                copies = near = chars = 0
                 if gone:
                     drop = {(g["line_no"], g["id"]): g["near"] for g in gone}
+                    numbers = {n for n, _ in drop}
                     kept = []
                     for n, line in enumerate(lines):
-                        key = (n, np.uint64(xxh3_64_intdigest(line)).astype(np.int64).item()) if len(line) >= least else None
+                        key = (n, np.uint64(xxh3_64_intdigest(line)).astype(np.int64).item()) if n in numbers else None
                         if key in drop:
                             near += drop[key]
                             copies += not drop[key]
+                            chars += len(points(line))
                         else:
                             kept.append(line)
                     text = b"\n".join(kept).decode("utf-8", "surrogatepass")
                 texts.append(text)
-                counts.append((len(lines) if text is not None else 0, copies, near))
-            columns = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(names) - 3)]
-            yield pa.record_batch([*columns, *(pa.array([x[c] for x in counts], pa.int64()) for c in range(3))], names)
+                counts.append((len(lines) if text is not None else 0, copies, near, chars))
+            columns = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(old)]
+            yield pa.record_batch([*columns, *(pa.array([x[c] for x in counts], pa.int64()) for c in range(len(new)))], names)
 
     return joined.mapInArrow(cut, schema)
 
 
-#: DuckDB's form: equality and distance between all distinct lines of about one length. It is narrower than the operator:
-#: levenshtein() counts bytes, and lines of 20 to 39 bytes are compared for equality only.
+#: DuckDB's form: equality, and distance between all distinct lines of about one length. Its levenshtein() counts bytes, so
+#: the accented letters of the tables become single control characters first; other non-ASCII characters count as their bytes.
 ORACLE_SQL = r"""
 with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents),
-n as (select *, octet_length(encode(line)) as b from l),
-f as (select line, b, min({'d': doc_id, 'n': line_no}) as first from n where b >= 20 group by line, b),
-near as (select distinct y.line from f x join f y on y.b between x.b - 2 and x.b + 2 and x.first < y.first and x.b >= 40 and y.b >= 40
-  and x.line <> y.line and levenshtein(x.line, y.line) <= 2),
-r as (select n.*, n.b >= 20 and {'d': n.doc_id, 'n': n.line_no} <> f.first as copy, near.line is not null as near from n left join f on f.line = n.line left join near on near.line = n.line)
+f as (select line, octet_length(encode(line)) as b, min({'d': doc_id, 'n': line_no}) as first,
+    translate(line, 'ÄÇÈÉÊÍÑÓÖÜßáâäçèéêíîñóöúü', CONTROLS) as s, length(line) as c from l
+  where regexp_matches(line, '[^\x20\x09-\x0D]') and doc_id is not null group by line),
+near as (select distinct y.line from f x join f y on y.c between x.c - 2 and x.c + 2 and x.first < y.first and x.b >= 20 and y.b >= 20
+  and levenshtein(x.s, y.s) <= case when least(x.b, y.b) >= 40 then 2 else 1 end),
+r as (select l.*, {'d': l.doc_id, 'n': l.line_no} <> f.first as copy, near.line is not null as near from l left join f on f.line = l.line left join near on near.line = l.line)
 select doc_id, coalesce(string_agg(line, chr(10) order by line_no) filter (where not (coalesce(copy, false) or near)), '') as text, count(*) as n_lines,
-  count(*) filter (where coalesce(copy, false)) as n_copies, count(*) filter (where near and not coalesce(copy, false)) as n_near
+  count(*) filter (where coalesce(copy, false)) as n_copies, count(*) filter (where near and not coalesce(copy, false)) as n_near,
+  coalesce(cast(sum(length(line)) filter (where coalesce(copy, false) or near) as bigint), 0) as n_cut
 from r group by doc_id
-"""
+""".replace("CONTROLS", " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 31)]))

@@ -143,24 +143,113 @@ def test_chat_query_digests(spark):
     assert r.turns_sha256 == hashlib.sha256(f"user\n{mark}\nassistant\n{mark}\n".encode()).hexdigest() and r.loss_chars == len(mark)
 
 
-def test_html(spark):
+def test_html_parse():
     page = html_extract.Page
-    html = '<body><header>H</header><nav><ul><li>x<li>y</ul></nav><div class="cookie-notice">We</div><main><article><h1>T</h1><p>a<b>b</b>c &amp; d&nbsp;e<p>f<br>g<div class="adBox">AD</div><aside>s</aside><form>q</form><section id="comments"><p>Great</section></article></main><div class="has-sidebar">z</div><footer>c</footer><script>"</p>"</script>'
+    html = '<body><header>H</header><nav><ul><li>x<li>y</ul></nav><div class="cookie-notice">We</div><main><article><h1>T</h1><p>a<b>b</b>c &amp; d&nbsp;e<p>f<br>g<div class="ad">AD</div><aside>s</aside><form>q</form><section id="comments"><p>Great</section></article></main><div class="has-sidebar">z</div><footer>c</footer><script>"</p>"</script>'
     assert page(html).text() == "T abc & d e f g"
     assert page(None).text() == "" and page("a < b & c <p").text() == "a < b & c <p" and page("<p>one<div class=sidebar>no</div><p>two").text() == "one two"
-    docs = [(i, f"http://h.example.com/{i}", f"<body><div class=top>Welcome to our site</div><div class=body>story {i} {i * 7}</div>") for i in range(8)]
-    docs += [(90, None, None), (91, "odd", "<p>x</p>"), (91, "odd", "<p>x</p>"), (None, "http://h.example.com/z", "<p>y</p>")]
-    df = spark.createDataFrame([(*d, "clash") for d in docs], "page_id long, url string, html string, host string")
-    for limit in (1000, 0):
+    assert page("<table><tr><td>a<td>b<tr><td>c</table><ul><li><p>x<li>y</ul>").text() == "a b c x y"
+    assert page("&#" + "9" * 6000 + "; x &#00065; &#x41;").text() == "\ufffd x A A" and page('a <span class="ad">no <span>no</span></span> b').text() == "a b"
+
+
+def test_html_names_inside_the_article():
+    """No word of a class or id removes text of the article; whole names of adverts and comments do."""
+    html = '<article><section class="related-work">A</section><div class="search-trees">B</div><p class="notice">C</p><section id="discussion">D</section><div class="social-science">E</div><div class="ads">F</div></article>'
+    assert html_extract.Page(html).text() == "A B C D E" == html_extract.Page(html).text(frozenset(), judged=True)
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', '<a b="', "<div>", "<b><td>", "<script>", "<script></script ", "<!-- ", "<div><p>x", "<", "&#", "<span class=ad>", "<ul><li><p>", "</div>", "word "])
+def test_html_of_broken_markup_is_linear(unit):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        page = html_extract.Page(unit * (n // len(unit)) + ">")
+        page.nodes(), page.text({(1, 0)}, True), page.identity()
+        return time.process_time() - start
+
+    small, large = seconds(60_000), seconds(600_000)
+    assert large < 1 or large < 30 * max(small, 0.05)
+
+
+def brute_tree(rows):
+    """Entropies by path, and low texts of boxes that share one, as the docstring has them."""
+    hosts = {}
+    for url, html in rows:
+        page = html_extract.Page(html)
+        hosts.setdefault(html_extract.host_of(url), {}).setdefault(page.identity(), []).append(page.nodes())
+    low = {}
+    for host, pages in hosts.items():
+        seen = {}
+        for identity, copies in pages.items():
+            for nodes in copies:
+                for path, content, look, kind, suspect in nodes:
+                    own = seen.setdefault(path, {"suspect": False, "nodes": {}, "texts": {}})
+                    own["suspect"] |= suspect
+                    if kind != 2:
+                        c, l = own["nodes"].get(identity, (2**63, 2**63))
+                        signed = lambda x: x - 2**64 if x >= 2**63 else x
+                        own["nodes"][identity] = min(c, signed(content)), min(l, signed(look))
+                    if kind != 1 and content:
+                        own["texts"].setdefault(content, set()).add(identity)
+        for path, own in seen.items():
+            m = len(own["nodes"])
+            if m < html_extract.LEAST_PAGES:
+                continue
+            low.setdefault(host, set())
+            entropy = max(-sum(n / m * math.log(n / m) for n in Counter(x[k] for x in own["nodes"].values()).values()) / math.log(m) for k in (0, 1))
+            if entropy < (html_extract.NAMED_IMPORTANCE if own["suspect"] else html_extract.LEAST_IMPORTANCE):
+                low[host].add((path, 0))
+            for content, ids in own["texts"].items():
+                if len(ids) >= max(html_extract.LEAST_PAGES, m / 2) and -math.log(len(ids) / m) / math.log(m) < html_extract.LEAST_IMPORTANCE:
+                    low[host].add((path, content))
+    return low
+
+
+def hosted_pages():
+    """A host whose boilerplate has no telling names, one with suspect names, one small."""
+    out = []
+    for i in range(12):
+        boxes = [f"<div>story {i} {i * 7}</div>", f"<div>more {i % 5} of {i}</div>"]
+        boxes.insert(i % 3, "<div>Read our rules before you write</div>")
+        out.append((i, f"http://h.example.com/{i}", f"<body><div class=top>Welcome to our site</div>{''.join(boxes)}<p class=end>Built in {2000 + i % 2}"))
+        note = "<p>Subscribe and never miss a story</p>"
+        out.append((100 + i, f"http://n.example.com/{i}", f"<div class=search-box>find {i % 4}</div><div class=search-trees>trees {i}</div><article><h2>Summary</h2><p>text {i}</p>{note}<p>end {i}</p></article>" if i % 2 else f"<div class=search-box>find {i % 4}</div><div class=search-trees>trees {i}</div><p>text {i}"))
+    out += [(200 + i, f"http://s.example.com/{i}", "<div class=top>Welcome</div><div class=site-menu>menu</div><p>same") for i in range(4)]
+    return out + [(90, None, None), (91, "odd", "<p>x</p>"), (91, "odd", "<p>x</p>"), (None, "http://h.example.com/z", "<p>y</p>")]
+
+
+def test_style_tree_decides(spark):
+    docs = hosted_pages()
+    df = spark.createDataFrame([(*d, "clash", 1) for d in docs], "page_id long, url string, html string, host string, piece int")
+    want = brute_tree([(u, h) for _, u, h in docs])
+    whole = 2**64 - 1
+    got = {}
+    for r in html_extract.low_branches(df).collect():
+        own = got.setdefault(r.host & whole, set())
+        if r.path:
+            own.add((r.path & whole, r.content & whole))
+    assert got == {html_extract.digest(h): x for h, x in want.items()}
+    for limit in (1000, 0):  # by broadcast, then by a join
         got = {r.page_id: r.text for r in html_extract.extract_text(df, broadcast_rows=limit).collect()}
-        assert got[3] == "story 3 21" and got[90] == "" and got[91] == "x" and got[None] == "y"
+        assert got[3] == "story 3 21 more 3 of 3" and got[90] == "" and got[91] == "x" and got[None] == "y"
+        assert got[101] == "Summary text 1 end 1" and got[102] == "trees 2 text 2" and got[201] == "Welcome same"
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_join_of_a_host_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "PIECE", 3)
+    df = spark.createDataFrame(hosted_pages(), "page_id long, url string, html string")
+    assert sorted(map(str, html_extract.extract_text(df, broadcast_rows=0).collect())) == sorted(map(str, html_extract.extract_text(df).collect()))
+
+
 def test_html_of_all_pages(spark):
     import html as entities
 
-    for r in queries.op4_html_extract(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op4_html_extract(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
+    for r in rows:
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         assert r.text == " ".join(entities.unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)>", " ", inner))).split())
 
@@ -205,7 +294,8 @@ def brute_lines(rows, least, near_least, tau):
     gone = set()
     for p, x in lines:
         for q, y in lines:
-            if q < p and len(x) >= least and (x == y or (len(x) >= near_least and len(y) >= near_least and distance(x, y) <= tau)):
+            near = min(len(x), len(y)) >= least and distance(x, y) <= (tau if min(len(x), len(y)) >= near_least else 1)
+            if q < p and x.split() and (x == y or near):
                 gone.add(p)
     return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows if i is not None and t is not None}
 
@@ -222,6 +312,24 @@ def test_line_dedup(spark, monkeypatch):
         assert got == expected
 
 
+def test_line_dedup_of_a_hot_segment(spark, monkeypatch):
+    """Near copies of a few lines, in many chunks: most are decided in their chunk, the rest as guests."""
+    monkeypatch.setattr(line_dedup, "HOT", 8)
+    monkeypatch.setattr(line_dedup, "CHUNK", 4)
+    monkeypatch.setattr(line_dedup, "GUESTS", 3)
+    rng = random.Random(9)
+    head = "every line of this page starts alike and then "
+    rows = [(f"d{i:03}", head + "".join(rng.choice("xyz") for _ in range(rng.choice((3, 3, 12))))) for i in range(90)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()}
+    assert got == brute_lines(rows, 20, 40, 2) and 5 < sum(t == "" for t in got.values()) < 85
+
+
+def test_line_dedup_replaces_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([("b", "same words", 7, "x", None, 1, 2), ("a", "same words", 7, "x", None, 1, 2)], "doc_id string, text string, n_lines int, n_copies string, n_near long, n_cut int, removed int")
+    got = {r.doc_id: r.asDict() for r in line_dedup.dedup_lines(docs).collect()}
+    assert got["b"] == {"doc_id": "b", "text": "", "removed": 2, "n_lines": 1, "n_copies": 1, "n_near": 0, "n_cut": 10} and got["a"]["text"] == "same words"
+
+
 def test_line_dedup_of_short_and_accented_lines(spark, monkeypatch):
     pairs = [  # two lines, and whether the second goes
         ("Thwhesnd esator whshing and hewh.", "Thwhesnd, esator whshing and hewh.", True), ("one edit of twenty by", "one edit of twenty b", True), ("two edits of a short l", "two edjts of a shjrt l", False),
@@ -247,7 +355,7 @@ def test_line_dedup_of_short_and_accented_lines(spark, monkeypatch):
 def test_line_dedup_odd_rows(odd, empty):
     out = line_dedup.dedup_lines(odd)
     got = {r.doc_id: r for r in out.collect()}
-    assert out.count() == 13 and out.columns == [*odd.columns, "n_lines", "n_copies", "n_near"]
+    assert out.count() == 13 and out.columns == [*odd.columns, "n_lines", "n_copies", "n_near", "n_cut"]
     assert got[1].text and got[2].text == "" and got[2].n_copies == 1 and got[4].text is None and got[None].text and got[11].n_copies == 2
     assert line_dedup.dedup_lines(empty).count() == 0
 
