@@ -4,21 +4,23 @@ Exact self-join of documents whose shingle sets have a Jaccard similarity of at
 num/den, as connected components. It follows the two skips of "Leveraging set relations
 in exact set similarity join" (Wang et al., VLDB 2017):
 
-* index-level skip: inverted lists of prefix tokens hold (set size, position); entries of
-  one position form a block, and a block is skipped when even its best entry cannot reach
-  the overlap that the threshold asks for;
-* answer-level skip: inside a long list, the answers of a set are derived from those of a
-  highly similar set (its leader). Jaccard distance is a metric, so whatever is near a
-  follower lies within (1 - t) + d(leader, follower) of the leader.
+* index-level skip: inverted lists of prefix tokens hold (position, set); entries of one
+  position form a block, and a block is skipped as a whole when even its best entry cannot
+  reach the overlap that the threshold asks for;
+* answer-level skip: the answers of a set are derived from those of a highly similar set
+  (its leader). Jaccard distance is a metric, so whatever is near a follower lies within
+  (1 - t) + d(leader, follower) of the leader.
 
 Tokens are 64-bit hashes of word windows. Any total order of tokens gives right results;
 shingles that are locally frequent get the last places, so shared passages rarely enter a
 prefix. The list of frequent shingles has a fixed bound and changes speed only.
 
-Sets that a chain of candidates connects (a crowd) meet in one group while they are few, so
-that each set is sent once, not once a list. Larger crowds, and beyond a bound their lists,
-are cut into chunks and each pair of chunks is its own group: no crowd or list of any length
-meets in one task, and a group returns at most one edge a set (a spanning forest).
+Equal sets are one class. Classes that a chain of candidates connects (a crowd) meet in one
+group while they are few, so that each set is sent once, not once a list; a group has its own
+inverted lists, where both skips act. Larger crowds are joined list by list. Beyond a bound,
+crowds and lists are cut into chunks. In lists of a large crowd chunks are joined by themselves
+first; then only classes that are not yet linked with most of their list travel from chunk to
+chunk. A group returns at most one edge a set (a spanning forest).
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratasift.llm.common import WordHasher, components, materialise, passes, slot_filter, window_hashes, words_of
+from stratasift.llm.common import WordHasher, components, forget, materialise, passes, slot_filter, window_hashes, words_of
 
 #: Prefix lists of up to SHORT sets are joined pair by pair; longer ones by pairs of chunks of about CHUNK sets.
 SHORT, CHUNK = 256, 1024
@@ -39,6 +41,8 @@ SHORT, CHUNK = 256, 1024
 TOKENS = 1_000_000
 #: Crowds of candidates of up to so many sets are compared as a whole, by pairs of chunks; in larger ones, list by list.
 WHOLE = 16 * CHUNK
+#: Sets that visit a chunk of a long list in one group.
+GUESTS = 1024
 #: Bound of the list of frequent shingles that tasks share.
 FREQUENT = 32_768
 
@@ -107,7 +111,12 @@ def ordered_prefix(tokens: np.ndarray, sorted_frequent: np.ndarray, rank: np.nda
     return np.concatenate([rare, tail[np.argsort(rank[at[hot]])]])[:p]
 
 
-INDEX_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>"
+def identity(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a set."""
+    if not len(tokens):
+        return 0, 0
+    with np.errstate(over="ignore"):
+        return int(tokens.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(tokens * np.uint64(0xD6E8FEB86659FD93) ^ (tokens >> np.uint64(32))).view(np.int64))
 
 
 def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -120,9 +129,9 @@ def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, freque
         for text in batch.column(1).to_pylist():
             t = shingle_set(text, k, hasher)
             sizes.append(len(t))
-            with np.errstate(over="ignore"):
-                s1.append(int(t.sum(dtype=np.uint64).view(np.int64)) if len(t) else 0)
-                s2.append(int(np.bitwise_xor.reduce(t * np.uint64(0xD6E8FEB86659FD93) ^ (t >> np.uint64(32))).view(np.int64)) if len(t) else 0)
+            x, y = identity(t)
+            s1.append(x)
+            s2.append(y)
             prefixes.append(ordered_prefix(t, sorted_frequent, rank, num, den).view(np.int64) if len(t) else np.empty(0, np.int64))
         lengths = np.array([len(p) for p in prefixes], dtype=np.int32)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -137,8 +146,12 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray) -> Iterat
     hasher = WordHasher()
     for batch in batches:
         batch = batch.filter(pa.array(passes(bits, batch.column(2).to_numpy())))
-        sets = [shingle_set(text, k, hasher).tobytes() for text in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["rep", "tokens"])
+        sets = [shingle_set(text, k, hasher) for text in batch.column(1).to_pylist()]
+        named = [identity(t) for t in sets]
+        yield pa.record_batch(
+            [batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([x for x, _ in named], pa.int64()), pa.array([y for _, y in named], pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())],
+            ["rep", "n_shingles", "s1", "s2", "tokens"],
+        )
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -153,28 +166,72 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
-def chunk_forest(ids: np.ndarray, positions: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among some sets of one inverted list.
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after the other."""
+    sizes = ends - starts
+    total = np.cumsum(sizes)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - sizes), sizes)
+
+
+class Lists:
+    """Inverted lists over the prefixes of some sets: blocks of one token and position, in that order.
 
-    Each turn takes a leader that follows no earlier one and computes its overlaps with the
-    sets that no skip excludes. Blocks of equal position are skipped where the tokens left
-    after the shared one cannot reach the needed overlap; sets farther from an earlier
-    leader than the triangle inequality allows are skipped too. Sets that link with a leader
-    become its followers: they probe no list, and only their leader's answers in the ring
-    just beyond the threshold are compared with them.
+    Tokens are ordered by their hash, those that many of the sets hold last.
+    """
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, vocabulary: int, num: int, den: int):
+        self.num, self.den = num, den
+        self.sizes = sizes = np.diff(starts)
+        m = len(sizes)
+        owner = np.repeat(np.arange(m), sizes)
+        often = np.bincount(flat, minlength=vocabulary) > max(8, m // 8)
+        ordered = flat[np.argsort(owner * 2 + often[flat], kind="stable")]
+        self.lengths = sizes + 1 + (-sizes * num) // den
+        self.prefixes = [ordered[s : s + n] for s, n in zip(starts, self.lengths)]
+        at = _ranges(starts[:-1], starts[:-1] + self.lengths)
+        token, owner = ordered[at], np.repeat(np.arange(m), self.lengths)
+        position = at - starts[owner]
+        order = np.lexsort((owner, position, token))
+        token, position, self.owner = token[order], position[order], owner[order]
+        new = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (position[1:] != position[:-1])]))
+        self.begin, self.end = new, np.append(new[1:], len(token))
+        self.position = position[new]
+        held = sizes[self.owner]
+        self.least = np.minimum.reduceat(held, new)
+        self.left = np.maximum.reduceat(held, new) - self.position
+        self.first = np.searchsorted(token[new], np.arange(vocabulary + 1))
+
+    def candidates(self, x: int) -> np.ndarray:
+        """Sets, in order and without x, in the blocks that no skip excludes."""
+        tokens, n = self.prefixes[x], self.sizes[x]
+        lo, hi = self.first[tokens], self.first[tokens + 1]
+        blocks = _ranges(lo, hi)
+        own_left = np.repeat(n - np.arange(len(tokens)), hi - lo)
+        useful = np.minimum(own_left, self.left[blocks]) >= needed_overlap(n, self.least[blocks], self.num, self.den)
+        blocks = blocks[useful]
+        found = np.unique(self.owner[_ranges(self.begin[blocks], self.end[blocks])])
+        return found[found != x]
+
+
+def chunk_forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among some sets; with labels, of those that join different labels.
+
+    Each turn takes a leader that follows no earlier one, finds its candidates in the inverted
+    lists, and computes its overlaps with those that are not farther from an earlier leader
+    than the triangle inequality allows. Sets that link with a leader become its followers: of
+    their candidates only those in the leader's ring just beyond the threshold, or whose
+    distance the leader left open, are compared, and none that is connected already.
     """
-    order = np.lexsort((ids, positions))
-    ids, positions, sets = ids[order], positions[order], [sets[i] for i in order]
     m = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    block_starts = np.flatnonzero(np.concatenate([[True], positions[1:] != positions[:-1]]))
-    blocks = list(zip(block_starts, [*block_starts[1:], m]))
-    block_min = np.array([sizes[x:y].min() for x, y in blocks])
-    block_left = np.array([sizes[x:y].max() for x, y in blocks]) - positions[block_starts]
+    lists = Lists(flat, starts, len(vocabulary), num, den)
     width = 1 - num / den
     parent = np.arange(m)
+    if labels is not None:
+        _, first, group = np.unique(labels, return_index=True, return_inverse=True)
+        parent = first[group]
     edges: list[tuple[int, int]] = []
 
     def find(x: int) -> int:
@@ -189,16 +246,20 @@ def chunk_forest(ids: np.ndarray, positions: np.ndarray, sets: list[np.ndarray],
             parent[max(rx, ry)] = min(rx, ry)
             edges.append((int(ids[x]), int(ids[y])))
 
+    def all_roots() -> np.ndarray:
+        roots = parent
+        while not np.array_equal(roots, roots[roots]):
+            roots = roots[roots]
+        return roots
+
     member = np.zeros(len(vocabulary), dtype=bool)
 
     def overlaps(x: int, among: np.ndarray) -> np.ndarray:
-        member[flat[starts[x] : starts[x + 1]]] = True
-        if len(among) * 2 >= m:
-            hit = np.concatenate([[0], np.cumsum(member[flat])])
-            out = hit[starts[among + 1]] - hit[starts[among]]
-        else:
-            out = np.array([member[flat[starts[j] : starts[j + 1]]].sum() for j in among], dtype=np.int64)
-        member[flat[starts[x] : starts[x + 1]]] = False
+        own = flat[starts[x] : starts[x + 1]]
+        member[own] = True
+        hit = member[flat[_ranges(starts[among], starts[among + 1])]]
+        out = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[among])[:-1]]), dtype=np.int64)
+        member[own] = False
         return out
 
     follows = np.full(m, -1)
@@ -207,17 +268,12 @@ def chunk_forest(ids: np.ndarray, positions: np.ndarray, sets: list[np.ndarray],
     for x in range(m):
         if follows[x] >= 0:
             continue
-        left = sizes[x] - positions[x]
-        useful = np.minimum(left, block_left) >= needed_overlap(sizes[x], block_min, num, den)
-        among = np.zeros(m, dtype=bool)
-        for (lo, hi), u in zip(blocks, useful):
-            if u:
-                among[lo:hi] = True
-        among[x] = False
+        chosen = lists.candidates(x)
+        if labels is not None:
+            chosen = chosen[all_roots()[chosen] != find(x)]
         for _, distance in known[-8:]:
             if distance[x] <= 1:
-                among &= ~(distance - distance[x] > width + 1e-9) | (distance > 1)
-        chosen = np.flatnonzero(among)
+                chosen = chosen[(distance[chosen] - distance[x] <= width + 1e-9) | (distance[chosen] > 1)]
         distance = np.full(m, 2.0)
         distance[x] = 0
         if len(chosen):
@@ -229,97 +285,158 @@ def chunk_forest(ids: np.ndarray, positions: np.ndarray, sets: list[np.ndarray],
                     follows[j], to_leader[j] = x, distance[j]
         known.append((x, distance))
     by_leader = dict(known)
-    roots = np.array([find(j) for j in range(m)])
+    roots = all_roots()
     for a in np.flatnonzero(follows >= 0):
-        ring = by_leader[int(follows[a])]
-        near = np.flatnonzero((ring <= width + to_leader[a] + 1e-9) | (ring > 1))
+        if (roots == roots[a]).all():
+            break
+        near = lists.candidates(int(a))
         near = near[(follows[near] >= 0) & (roots[near] != roots[a])]
-        near = near[np.minimum(sizes[a] - positions[a], sizes[near] - positions[near]) >= needed_overlap(sizes[a], sizes[near], num, den)] if len(near) else near
+        ring = by_leader[int(follows[a])]
+        near = near[(ring[near] <= width + to_leader[a] + 1e-9) | (ring[near] > 1)]
         if len(near):
             o = overlaps(int(a), near)
             if len(linked := near[o >= needed_overlap(sizes[a], sizes[near], num, den)]):
                 for j in linked:
                     link(int(a), int(j))
-                roots = np.array([find(j) for j in range(m)])
+                roots = all_roots()
     return edges
 
 
-def _pairs_of_chunks(rows: DataFrame, key: str, forest) -> DataFrame:
-    """forest() over the rows of each key (key, rep, pos, tokens, length, weight): whole if small enough for two chunks, else each pair of its chunks."""
+def _forest(num: int, den: int):
+    """A grouped function: edges among the sets (cls, tokens) of a group, or between its labels where it has them."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("cls").drop_duplicates("cls")
+        labels = frame["label"].to_numpy(np.int64) if "label" in frame else None
+        edges = chunk_forest(frame["cls"].to_numpy(np.int64), [np.frombuffer(v, np.uint64) for v in frame["tokens"]], num, den, labels)
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """chunks and c, the number of a row's own chunk: by length and weight (sets and tokens of the group)."""
     whole = (F.col("length") <= 2 * CHUNK) & (F.col("weight") <= 2 * TOKENS)
-    cut = rows.withColumn("chunks", F.when(whole, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("length") / CHUNK), F.ceil(F.col("weight") / TOKENS))).cast("long")).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    chunks = F.when(whole, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("length") / CHUNK), F.ceil(F.col("weight") / TOKENS))).cast("long")
+    return rows.withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+
+
+def _pairs_of_chunks(rows: DataFrame, key: str, forest) -> DataFrame:
+    """forest() over the rows of each key (key, cls, tokens, length, weight): whole if small enough for two chunks, else each pair of its chunks."""
     zero = F.lit(0).cast("long")
+    cut = _chunks(rows)
     others = F.when(F.col("chunks") == 1, F.array(zero)).otherwise(F.filter(F.sequence(zero, F.col("chunks") - 1), lambda d: d != F.col("c")))
-    cut = cut.withColumn("d", F.explode(others)).select(key, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "rep", "pos", "tokens")
+    cut = cut.withColumn("d", F.explode(others)).select(key, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "cls", "tokens")
     return cut.groupBy(key, "lo", "hi").applyInPandas(forest, "a long, b long")
 
 
+def _chunks_and_guests(rows: DataFrame, key: str, links: DataFrame, forest) -> tuple[DataFrame, list[str]]:
+    """Edges among the rows of each key, as _pairs_of_chunks, besides those that links and each chunk's own edges imply.
+
+    After the chunks' own edges, the rows of a key that are not in its most frequent component
+    are guests of all other chunks. A list of near copies is one component by then.
+    """
+    spark = rows.sparkSession
+    cut, cut_path = materialise(_chunks(rows).select(key, "cls", "tokens", "chunks", "c"))
+    own, own_path = materialise(cut.groupBy(key, "c").applyInPandas(forest, "a long, b long"))
+    several = cut.where("chunks > 1")
+    labels = components(links.unionByName(own))
+    labelled = several.join(labels, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("component", "cls")).drop("v", "component")
+    labelled, labelled_path = materialise(labelled)
+    home = labelled.groupBy(key, "label").agg(F.count("*").alias("n")).groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    home = home.where(F.col("all") > F.col("most")).select(key, "home", F.ceil((F.col("all") - F.col("most")) / GUESTS).alias("groups"))
+    zero = F.lit(0).cast("long")
+    open_ = labelled.join(home, key)
+    guests = open_.where("label <> home").withColumn("g", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("groups")))
+    guests = guests.withColumn("d", F.explode(F.filter(F.sequence(zero, F.col("chunks") - 1), lambda d: d != F.col("c"))))
+    hosts = open_.withColumn("g", F.explode(F.sequence(zero, F.col("groups") - 1))).withColumn("d", F.col("c"))
+    columns = [key, "d", "g", "cls", "tokens", "label"]
+    meeting = guests.select(columns).unionByName(hosts.select(columns))
+    between, between_path = materialise(meeting.groupBy(key, "d", "g").applyInPandas(forest, "a long, b long"))
+    for path in (cut_path, labelled_path):
+        forget(spark, path)
+    return own.unionByName(between), [own_path, between_path]
+
+
 def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Words are split at ASCII white space after lower-casing A-Z. A text with fewer than k
     words is one shingle; an empty or null text has none and links with nothing. Rows of a
     null doc_id keep a null component_id and link with nothing. Repeated rows are returned
-    as often as they come; rows that share a doc_id count as one document. Other columns
-    are ignored. An empty table gives an empty result.
+    as often as they come; rows that share a doc_id count as one document, whatever their
+    texts: a link of any of them is a link of all that have shingles. An id may be of any
+    type that has an order. Other columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
-    index, _ = materialise(docs.mapInArrow(lambda it: _index(it, k, num, den, frequent.value), INDEX_SCHEMA))
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
+    index, _ = materialise(docs.mapInArrow(lambda it: _index(it, k, num, den, frequent.value), f"doc_id {kind}, n_shingles long, s1 long, s2 long, prefix array<long>"))
     filled = index.where("n_shingles > 0 and doc_id is not null")
-    classes, _ = materialise(filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
-    lists = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    identity_columns = ["s1", "s2", "n_shingles"]
+    # Classes of equal sets; numbered once, as they are written.
+    classes = filled.groupBy(*identity_columns).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    classes, _ = materialise(classes.withColumn("cls", F.monotonically_increasing_id()))
+    lists = classes.select("cls", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     shared = lists.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
-    postings, _ = materialise(lists.join(shared.hint("shuffle_hash"), "token"))
+    postings, postings_path = materialise(lists.join(shared.hint("shuffle_hash"), "token"))
 
     short = postings.where(F.col("length") <= SHORT)
     x, y = short.alias("x"), short.alias("y")
     # A shared token at these positions leaves room for the smaller head, itself and the smaller tail; sizes must be near.
     room = f"{num + den} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {num} * (x.n + y.n)"
-    shares = x.join(y, F.expr(f"x.token = y.token and x.rep < y.rep and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {room}"))
-    shares = shares.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("shared"), F.max(F.expr("least(x.n - x.pos, y.n - y.pos)")).alias("tail"))
+    shares = x.join(y, F.expr(f"x.token = y.token and x.cls < y.cls and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {room}"))
+    shares = shares.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("shared"), F.max(F.expr("least(x.n - x.pos, y.n - y.pos)")).alias("tail"))
     # Beyond the tokens shared by both prefixes, a pair has at most one suffix in common; tokens of long lists may be shared too.
-    crowded = postings.where(F.col("length") > SHORT).groupBy("rep").agg(F.count("*").alias("crowded"))
-    shares = shares.join(crowded.withColumnRenamed("rep", "a").withColumnRenamed("crowded", "ca"), "a", "left").join(crowded.withColumnRenamed("rep", "b").withColumnRenamed("crowded", "cb"), "b", "left")
+    crowded = postings.where(F.col("length") > SHORT).groupBy("cls").agg(F.count("*").alias("crowded"))
+    shares = shares.join(crowded.withColumnRenamed("cls", "a").withColumnRenamed("crowded", "ca"), "a", "left").join(crowded.withColumnRenamed("cls", "b").withColumnRenamed("crowded", "cb"), "b", "left")
     suffix = F.expr(f"greatest(ceil(na * {num} / {den}), ceil(nb * {num} / {den})) - 1")
     need = num * (F.col("na") + F.col("nb"))
     hidden = F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
     first = (num + den) * F.col("tail") >= need  # if the first shared token is not in a long list
     kept = ((num + den) * (F.col("shared") + hidden + suffix) >= need) & (first | (hidden > 0))
-    pairs, _ = materialise(shares.where(kept).select("a", "b"))
+    pairs, pairs_path = materialise(shares.where(kept).select("a", "b"))
     long = postings.where(F.col("length") > SHORT)
     # Sets that some chain of candidates connects meet in one group if they are few, each sent there once.
-    owners = long.groupBy("token").agg(F.min("rep").alias("owner"))
-    stars = long.join(owners, "token").where("rep <> owner").select(F.col("owner").alias("a"), F.col("rep").alias("b")).distinct()
+    owners = long.groupBy("token").agg(F.min("cls").alias("owner"))
+    stars = long.join(owners, "token").where("cls <> owner").select(F.col("owner").alias("a"), F.col("cls").alias("b")).distinct()
     joined = components(pairs.unionByName(stars))
-    members = joined.select(F.col("v").alias("rep"), F.col("component").alias("crowd")).unionByName(joined.select(F.col("component").alias("rep"), F.col("component").alias("crowd")).distinct())
-    members = members.join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
-    members = members.join(members.groupBy("crowd").agg(F.count("*").alias("crowd_size"), F.sum("n").alias("weight")), "crowd").drop("n")
-    members, _ = materialise(members)
+    members = joined.select(F.col("v").alias("cls"), F.col("component").alias("crowd")).unionByName(joined.select(F.col("component").alias("cls"), F.col("component").alias("crowd")).distinct())
+    members = members.join(classes.select("cls", "rep", *identity_columns), "cls")
+    members = members.join(members.groupBy("crowd").agg(F.count("*").alias("crowd_size"), F.sum("n_shingles").alias("weight")), "crowd")
+    members, members_path = materialise(members)
     # Sets are made again where the texts are read; the bitmap keeps texts that no list needs from being shingled or shuffled.
-    bits = docs.sparkSession.sparkContext.broadcast(slot_filter(members, F.xxhash64("rep")))
+    bits = spark.sparkContext.broadcast(slot_filter(members, F.xxhash64("rep")))
     texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sets = texts.mapInArrow(lambda it: _sets(it, k, bits.value), "rep long, tokens binary").where(F.length("tokens") > 0)
-    sets, _ = materialise(sets.join(members, "rep"))
-
-    def forest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("rep")
-        edges = chunk_forest(frame["rep"].to_numpy(np.int64), frame["pos"].to_numpy(np.int64), [np.frombuffer(v, np.uint64) for v in frame["tokens"]], num, den)
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+    sets = texts.mapInArrow(lambda it: _sets(it, k, bits.value), f"rep {kind}, n_shingles long, s1 long, s2 long, tokens binary").where("n_shingles > 0")
+    sets, sets_path = materialise(sets.join(members, [*identity_columns, "rep"]).select("cls", "crowd", "crowd_size", "weight", "tokens"))
 
+    forest = _forest(num, den)
     crowds = sets.where(F.col("crowd_size") <= WHOLE)
-    links = _pairs_of_chunks(crowds.select("crowd", "rep", F.lit(0).cast("long").alias("pos"), "tokens", F.col("crowd_size").alias("length"), "weight"), "crowd", forest)
-
-    # Crowds beyond that: short lists pair by pair, long ones by pairs of chunks.
-    large = sets.where(F.col("crowd_size") > WHOLE).select("rep", "tokens")
-    left = pairs.join(large.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(large.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    links = links.unionByName(both.mapInArrow(lambda it: _verify(it, num, den), "a long, b long"))
-    listed = long.join(large, "rep").select("token", "rep", F.col("pos").cast("long").alias("pos"), "tokens", "length", F.lit(0).cast("long").alias("weight"))
-    links = links.unionByName(_pairs_of_chunks(listed, "token", forest))
-
-    labels = components(links)
-    found = classes.drop("prefix").join(labels, F.col("rep") == F.col("v"), "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = index.drop("prefix").join(found, ["s1", "s2", "n_shingles"], "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    links = _pairs_of_chunks(crowds.select("crowd", "cls", "tokens", F.col("crowd_size").alias("length"), "weight"), "crowd", forest)
+    paths = [postings_path, pairs_path, members_path, sets_path]
+
+    large = sets.where(F.col("crowd_size") > WHOLE).select("cls", "tokens")
+    if not large.isEmpty():  # crowds beyond that: short lists pair by pair, long ones by chunks
+        left = pairs.join(large.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a")
+        both = left.join(large.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+        links, links_path = materialise(links.unionByName(both.mapInArrow(lambda it: _verify(it, num, den), "a long, b long")))
+        listed = long.join(large, "cls").select("token", "cls", "tokens", "length", F.lit(0).cast("long").alias("weight"))
+        more, more_paths = _chunks_and_guests(listed, "token", links, forest)
+        links = links.unionByName(more)
+        paths += [links_path, *more_paths]
+
+    # Rows that share a doc_id are linked by it.
+    several = filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    of_ids = filled.join(several, "doc_id").select("doc_id", *identity_columns).distinct().join(classes.select("cls", *identity_columns), identity_columns)
+    same = of_ids.join(of_ids.groupBy("doc_id").agg(F.min("cls").alias("a")), "doc_id").select("a", F.col("cls").alias("b"))
+    labels = components(links.unionByName(same.where("a <> b")))
+    for path in paths:
+        forget(spark, path)
+    found = classes.drop("prefix").join(labels, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("component", "cls"))
+    least = found.groupBy("label").agg(F.min("rep").alias("least"))
+    found = found.join(least, "label").select(*identity_columns, "least")
+    out = index.drop("prefix").join(found, identity_columns, "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))

@@ -93,6 +93,38 @@ def test_jaccard_join_of_a_large_crowd(spark, monkeypatch, whole, tokens):
     assert got == brute_components(rows, 3, 85, 100)
 
 
+def test_jaccard_join_of_shared_ids(spark):
+    """Rows of one doc_id with different texts are one document: links of each count."""
+    a, c = " ".join(f"a{i}" for i in range(60)), " ".join(f"c{i}" for i in range(60))
+    rows = [("1", a), ("1", c), ("1", c), ("2", a + " tail"), ("3", c + " tail"), ("4", "x y z")]
+    got = {(r.doc_id, r.component_id) for r in ngram_jaccard.near_duplicate_components(spark.createDataFrame(rows, "doc_id string, text string"), 3, 90, 100).collect()}
+    assert got == {("1", "1"), ("2", "1"), ("3", "1"), ("4", "4")}
+
+
+def test_chunk_forest_with_labels():
+    """Random sets around several centres: the forest joins just what brute force links, and no two of one label."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        centres = [np.unique(rng.integers(0, 4000, 60)) for _ in range(4)]
+        sets = []
+        for i in range(50):
+            base = centres[rng.integers(4)]
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.06], rng.integers(0, 4000, rng.integers(0, 5))])).astype(np.uint64))
+        links = [(i, j) for i in range(50) for j in range(i) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - n)]
+        labels = np.array([min(i % 25, 7) for i in range(50)])
+
+        def closure(pairs):
+            label = list(range(50))
+            for i, j in pairs:
+                x, y = label[i], label[j]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+            return label
+
+        assert closure(ngram_jaccard.chunk_forest(np.arange(50), sets, 85, 100)) == closure(links)
+        same = [(i, int(np.flatnonzero(labels == labels[i])[0])) for i in range(50)]
+        assert closure([*same, *ngram_jaccard.chunk_forest(np.arange(50), sets, 85, 100, labels)]) == closure([*same, *links])
+
+
 def test_jaccard_join_odd_rows(odd, empty):
     rows = ngram_jaccard.near_duplicate_components(odd, 3, 90, 100).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
