@@ -86,30 +86,30 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Fit on at most `sample` rows of labels (doc_id, label): those first by a hash of doc_id. One task holds their features."""
+    """Fit on at most `sample` rows of docs that labels (doc_id, label) names: those first by a hash of doc_id.
+
+    Each task keeps its first rows; one task gets `sample` rows of features and no more,
+    whatever the number of documents and however often a doc_id comes.
+    """
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", F.col("label").cast("int").alias("label"))  # at most `sample` rows
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features()
-        for batch in batches:
-            made = [make(t) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([i for i, _ in made], pa.list_(pa.int64())), pa.array([v for _, v in made], pa.list_(pa.float64())), batch.column(3)], ["h", "doc_id", "i", "v", "label"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
+    texts = texts.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("d"), F.col("label").cast("int").alias("label"), "text")
+    texts = texts.orderBy("h", "d", F.xxhash64("text")).limit(sample)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        make, rows = Features(), []
         for batch in batches:
-            for h, d, i, v, y in zip(*(batch.column(c) for c in range(5))):
-                rows.append((h.as_py(), d.as_py(), i.values.to_numpy(), v.values.to_numpy(), y.as_py()))
-        rows.sort(key=lambda r: r[:2])
-        w = fit([(np.array(i), np.array(v), y) for _, _, i, v, y in rows])
+            for h, d, y, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                index, value = make(text)
+                rows.append(((h, d, xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))), index.astype(np.int32), value, y))
+        rows.sort(key=lambda r: r[0])
+        w = fit([(i, v, y) for _, i, v, y in rows])
         at = np.flatnonzero(w)
         yield pa.record_batch([pa.array(at), pa.array(w[at])], ["i", "w"])
 
-    one = texts.mapInArrow(features, "h long, doc_id long, i array<long>, v array<double>, label int").coalesce(1)
     w = np.zeros((1 << BITS) + 1)
-    for r in one.mapInArrow(fitted, "i long, w double").collect():  # 2**BITS + 1 weights at most
+    for r in texts.repartition(1).mapInArrow(fitted, "i long, w double").collect():  # 2**BITS + 1 weights at most
         w[r.i] = r.w
     return w
 
