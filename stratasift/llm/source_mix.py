@@ -76,7 +76,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     while width > 1:
         node = Window.partitionBy("lo", "hi")
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        drawn = F.row_number().over(node.orderBy(F.xxhash64(F.lit(seed), "lo", "hi", "source_no", "token"), "source_no", "token"))
+        drawn = F.row_number().over(node.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "lo", "hi", "source_no", "token")), "source_no", "token"))
         share = F.floor(F.count("*").over(node) * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo")))
         tokens = tokens.withColumn("mid", middle).withColumn("left", drawn <= share)
         tokens = tokens.select("source_no", "token", F.when(F.col("left"), F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(F.col("left") & (F.col("hi") - F.col("lo") > 1), F.col("mid")).otherwise(F.col("hi")).alias("hi"))
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 1)
     runs = split_quotas(goal.where("n_blocks > 0").select("source_no", "n_blocks"), shards, seed)
     # A source's blocks in a permuted order: the tree's runs are positions in that order.
     listed = goal.where("n_blocks > 0").select("source_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
-    listed = listed.withColumn("place", F.row_number().over(Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 1), "source_no", "block"), "block")) - 1)
+    listed = listed.withColumn("place", F.row_number().over(Window.partitionBy("source_no").orderBy(F.md5(F.concat_ws(":", F.lit(seed + 1), "source_no", "block")), "block")) - 1)
     drawn = runs.select("source_no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("place"))
     block_shards = drawn.join(listed, ["source_no", "place"]).select("source_no", "block", "shard")
     block_shards = materialise(block_shards)[0]  # at most BLOCKS rows and one more a source
@@ -139,27 +139,61 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 1)
 
 
 def taken_by_document(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 1) -> DataFrame:
-    """One row a document row: doc_id, size, source_size, target, taken. Repeated rows have a row each."""
+    """One row a document row: doc_id, size, source_size, target, taken, shards, n_pieces. Repeated rows have a row each.
+
+    shards lists the output shards that the splitting tree gives the document's words to,
+    comma-joined, in order; n_pieces counts its pieces in their blocks.
+    """
     pieces = mix(docs, shards, blocks, seed)
-    return pieces.groupBy("doc_id", "copy", "source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken")).drop("source", "copy")
+    per = pieces.groupBy("doc_id", "copy", "source", "size").agg(
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken"), F.array_join(F.transform(F.array_sort(F.collect_set("shard")), lambda x: x.cast("string")), ",").alias("shards"), F.count("shard").alias("n_pieces")
+    )
+    return per.drop("source", "copy")
 
 
-#: DuckDB's form of taken_by_document over `documents` with the default seed. The recursion saturates sources until none is above its cap.
-ORACLE_SQL = r"""
-with recursive d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-    md5('1:' || coalesce(cast(doc_id as varchar), 'null')) as key from documents),
-s as (select *, ((row_number() over (order by source nulls last) - 1) % 3) + 1 as w from (select source, cast(sum(size) as bigint) as n from d group by source)),
+def oracle_sql(shards: int = 16, blocks: int = BLOCKS, seed: int = 1) -> str:
+    """DuckDB's form of taken_by_document over `documents`, for a number of shards that is a power of two.
+
+    The first recursion saturates sources until none is above its cap; then one step a level of the splitting tree.
+    """
+    levels, width, n = [], shards, 0
+    while width > 1:
+        levels.append(
+            f"""t{n + 1} as (select no, token, case when l then lo else mid end as lo, case when l then mid else hi end as hi
+  from (select *, row_number() over (partition by lo, hi order by md5('{seed}:' || lo || ':' || hi || ':' || no || ':' || token), no, token) <= floor(count(*) over (partition by lo, hi) * (mid - lo) / (hi - lo)) as l
+    from (select *, (lo + hi) // 2 as mid from t{n})))"""
+        )
+        width, n = width // 2, n + 1
+    tree = ",\n".join(levels)
+    return f"""
+with recursive d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+    md5('{seed}:' || coalesce(cast(doc_id as varchar), 'null')) as key from documents),
+s as (select *, ((row_number() over (order by source nulls last) - 1) % 3) + 1 as w, row_number() over (order by source nulls last) as no from (select source, cast(sum(size) as bigint) as n from d group by source)),
 fill(step, level) as (
   select 0, cast((select sum(n) from s) as double) / (select sum(w) from s)
   union all
   select step + 1, ((select sum(n) from s) - (select coalesce(sum(3 * n), 0) from s where 3 * n <= w * f.level)) / nullif((select sum(w) from s where 3 * n > w * f.level), 0)
   from fill f where step < 40 and level is not null),
 top as (select max(level) as level from fill),
-t as (select source, n, least(cast(3 * n as double), w * level) as target from s, top),
-g as (select *, least(cast(round(target) as bigint), 3 * n) as goal from t),
-p as (select d.*, g.n, g.target, g.goal, coalesce(sum(d.size) over (partition by d.source order by key, d.size rows between unbounded preceding and 1 preceding), 0) as start
-  from d join g on g.source is not distinct from d.source)
-select doc_id, size, n as source_size, target,
-  cast(greatest(0, least(start + size, goal) - start) + greatest(0, least(n + start + size, goal) - n - start) + greatest(0, least(2 * n + start + size, goal) - 2 * n - start) as bigint) as taken
-from p
+t as (select source, no, n, least(cast(3 * n as double), w * level) as target from s, top),
+g0 as (select *, least(cast(round(target) as bigint), 3 * n) as goal from t),
+g as (select *, ceil(goal / per_block)::bigint as n_blocks from (select *, greatest(1, ceil((select sum(goal) from g0) / {blocks}))::bigint as per_block from g0)),
+t0 as (select no, unnest(range(0, n_blocks)) as token, 0 as lo, {shards} as hi from g),
+{tree},
+c as (select no, lo as shard, count(*) as n from t{n} group by no, lo),
+r as (select *, sum(n) over (partition by no order by shard) as after from c),
+b as (select no, block, row_number() over (partition by no order by md5('{seed + 1}:' || no || ':' || block), block) - 1 as place from (select no, unnest(range(0, n_blocks)) as block from g)),
+dealt as (select b.no, block, shard from b join r on r.no = b.no and place >= after - r.n and place < after),
+p as (select d.*, g.no, g.n, g.target, g.goal, g.per_block, row_number() over () as id, coalesce(sum(d.size) over (partition by d.source order by key, d.size rows between unbounded preceding and 1 preceding), 0) as start
+  from d join g on g.source is not distinct from d.source),
+passes as (select *, pass * n + start as begun, least(pass * n + start + size, goal) as stop from p, (select unnest(range(0, {MAX_REPEATS})) as pass)),
+pieces as (select id, no, unnest(range(begun // per_block, (stop - 1) // per_block + 1)) as block from (select id, no, per_block, cast(begun as bigint) as begun, cast(stop as bigint) as stop from passes where begun < stop)),
+found as (select id, array_to_string(list_sort(list(distinct shard)), ',') as shards, count(*) as n_pieces from pieces join dealt on dealt.no = pieces.no and dealt.block = pieces.block group by id)
+select doc_id, size, p.n as source_size, target,
+  cast(greatest(0, least(start + size, goal) - start) + greatest(0, least(p.n + start + size, goal) - p.n - start) + greatest(0, least(2 * p.n + start + size, goal) - 2 * p.n - start) as bigint) as taken,
+  coalesce(shards, '') as shards, coalesce(n_pieces, 0) as n_pieces
+from p left join found on found.id = p.id
 """
+
+
+ORACLE_SQL = oracle_sql()
