@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 HEAD, MID, TAIL = "### ", ": ", " </turn>\n"
 #: Part kinds and the default expansion: pixels along a side of an image token, audio tokens a second, tokens a document page.
 IMAGE_PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 1000
-#: Turns joined in the first step; a longer conversation is joined from its blocks.
+#: Turn numbers joined in the first step; a longer conversation is joined from its blocks.
 BLOCK = 256
 
 PARTS_TYPE = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
@@ -73,8 +73,10 @@ def format_conversations(turns: DataFrame, parts: Column | None = None, loss_rol
     give one result; null turns come first, a null role or text counts as empty, rows of a
     null conv_id form a conversation of their own. loss_spans are (start, length) in code
     points of the formatted string, one for each turn of loss_role. Turns are joined in
-    blocks of BLOCK by their rank of turn number before whole conversations are, so that a
-    long conversation is shuffled and sorted in pieces. Other columns are ignored.
+    blocks of BLOCK consecutive turn numbers before whole conversations are, so that a long
+    conversation is shuffled and sorted in pieces; turns of one number, or of none, share a
+    piece. What meets at last is the conversation as one string, which is the result itself.
+    Other columns are ignored.
     """
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), visit(parts if parts is not None else text_parts(F.col("text"))).alias("v"))
     head = F.concat(F.lit(HEAD), F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\c")), F.lit(MID))

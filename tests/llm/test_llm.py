@@ -7,7 +7,9 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,15 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_of_a_long_conversation(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(1500)] + [(2, 3, "user", f"same {i:04}") for i in range(600)] + [(2, None, "user", f"none {i:04}") for i in range(300)]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).withColumn("turns", chat_format.parse_turns(F.col("formatted")))
+    got = {r.conv_id: r for r in out.collect()}
+    assert [t.text for t in got[1].turns] == [f"turn {i}" for i in range(1500)] and len(got[1].loss_spans) == 750
+    assert [t.text for t in got[2].turns] == [f"none {i:04}" for i in range(300)] + [f"same {i:04}" for i in range(600)]
+    assert all(got[1].formatted[s.start : s.start + s.length] == f"turn {2 * i}" for i, s in enumerate(got[1].loss_spans))
+
+
 def test_chat_parts(spark):
     part = lambda kind, **m: (kind, m.get("text"), m.get("ref"), m.get("w"), m.get("h"), m.get("s"), m.get("p"))
     rows = [(1, 0, "user", [part("text", text="see <"), part("image", ref="a.png", w=56, h=30), part("audio", ref="b.wav", s=2.0), None, part("odd"), part("document", ref="c.pdf", p=3), part("image", ref="d.png")]), (1, 1, "assistant", None)]
@@ -418,6 +429,67 @@ def test_license_scan_of_repeated_notices(spark):
     assert got[1].labels and {(r.labels, r.score) for r in got.values()} == {(got[1].labels, 1.0)}
 
 
+def brute_labels(text):
+    """Labels and score by the method, in plain loops."""
+    w = [x.decode() for x in license_scan.license_words(text)]
+    labels, score = set(), 0.0
+    for _, words_, label, length, k, phrase in license_scan.template_table():
+        t = words_.split()
+        if phrase:
+            if any(w[i : i + length] == t for i in range(len(w))):
+                labels.add(label)
+                score = 1.0
+            continue
+        where = {}
+        for j in range(length - k + 1):
+            where.setdefault(tuple(t[j : j + k]), []).append(j)
+        diagonals = {}
+        for i in range(len(w) - k + 1):
+            for j in where.get(tuple(w[i : i + k]), ()):
+                diagonals.setdefault(i - j, []).append((i, j))
+        runs, before = [], None
+        for d in sorted(diagonals):
+            first, last = min(diagonals[d])[0], max(diagonals[d])[0]
+            if before is None or d - before[0] > license_scan.SHIFT or first - before[1] > length:
+                runs.append([])
+            runs[-1].append(d)
+            before = d, last
+        slack = max(2 * license_scan.SHIFT, length // 10)
+        for run in runs:
+            span = lambda ds: (min(min(diagonals[d])[0] for d in ds), max(max(diagonals[d])[0] for d in ds) + k - 1)
+            first, last = span(run)
+            long = last - first + 1 > length + slack
+            for part in [[x for x in run if d <= x <= d + license_scan.SHIFT] for d in run] if long else [run]:
+                first, last = span(part)
+                cover = len({j for d in range(part[0], part[-1] + 1) for _, j in diagonals.get(d, ())}) / (length - k + 1)
+                if cover >= license_scan.LEAST_COVER and last - first + 1 <= length + slack:
+                    labels.add(label)
+                    score = max(score, cover)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_of_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(2)
+    made = []
+    for n, text in enumerate([*license_scan.LICENSES, *license_scan.TEMPLATES]):
+        w = f"copyright 2020 somebody {text.capitalize()}, and after it some words".split()
+        made.append((-10 - n, " ".join(x for x in w if rng.random() > 0.02)))
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(docs).collect()}
+    for i, text in ((r.doc_id, r.text) for r in docs.collect()):
+        labels, score = brute_labels(text)
+        assert got[i][0] == labels and got[i][1] == pytest.approx(score), i
+    assert all(label in got[-10 - n][0].split(",") for n, label in enumerate(license_scan.LICENSES.values()))
+
+
+def test_license_scan_of_a_very_long_text(spark):
+    word = " ".join(f"w{i % 977}" for i in range(300_000))
+    rows = [(1, f"{word} MIT License {word}"), (2, "x" * 2_000_000)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].first_word, got[1].labels) == (600_002, 300_000, "mit") and got[2].n_words == 1
+
+
 def test_decontamination(spark, odd, empty):
     item = " ".join(f"q{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "two words"), (5, "q1 q2 q3 q4 q5 q6 q7 zz")], "item_id long, text string")
@@ -467,6 +539,54 @@ def test_quality_classifier(spark, odd, empty):
     assert len(got) == 13 and all(r.score is not None for r in got) and quality_classifier.score_quality(empty, weights).count() == 0
 
 
+def test_classifier_equals_a_plain_loop(spark):
+    """Features, follow-the-regularised-leader steps and scores, each recomputed with dictionaries."""
+    from stratasift.llm.common import mix64
+
+    Q = quality_classifier
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["good", "Text", "BAD", "b4d", "spam", "the", "it's"][: 3 + i % 5]) for _ in range(rng.randrange(1, 30))) for i in range(80)]
+    rows = [(i, t, i % 2) for i, t in enumerate(texts)] + [(80, None, 1), (81, "", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int")
+    from xxhash import xxh3_64_intdigest as digest
+
+    def slots(text):
+        w = (text or "").encode().split()
+        low, shape = [digest(x.lower()) for x in w], [digest(b"\x00" + Q._shape(x)) for x in w]
+        pair = lambda h: [(a * 3 + b) % 2**64 for a, b in zip(h, h[1:])]
+        all_ = [*low, *shape, *pair(low), *pair(shape), *[12345 for a, b in zip(low, low[1:]) if a == b]]
+        count = Counter(int(x) >> (64 - Q.BITS) for x in mix64(np.array(all_, dtype=np.uint64)))
+        value = {i: 1 + math.log(n) for i, n in count.items()}
+        norm = math.sqrt(sum(v * v for v in value.values()))
+        return {i: v / norm for i, v in value.items()}
+
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= Q.L1 else -(z[i] - math.copysign(Q.L1, z[i])) / ((Q.BETA + math.sqrt(n[i])) / Q.ALPHA + Q.L2)
+
+    bias = 1 << Q.BITS
+    for _ in range(Q.EPOCHS):
+        for _, text, label in sorted(rows, key=lambda r: order[r[0]]):
+            x = {**slots(text), bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / Q.ALPHA * w[i]
+                n[i] += g * g
+    weights = Q.train(docs, labels)
+    assert {int(i) for i in np.flatnonzero(weights)} == {i for i in z if weight(i)}
+    assert all(weights[i] == pytest.approx(weight(i)) for i in z)
+    got = {r.doc_id: r for r in Q.score_quality(docs, weights).collect()}
+    for i, text, _ in rows:
+        want = 1 / (1 + math.exp(-(weight(bias) + sum(weight(j) * v for j, v in slots(text).items()))))
+        assert got[i].score == pytest.approx(want) and got[i].predicted == (got[i].score >= 0.7)
+    assert np.array_equal(Q.train(docs.unionByName(docs).unionByName(docs), labels, sample=20) != 0, Q.train(docs.unionByName(docs).unionByName(docs), labels, sample=20) != 0)
+
+
 def test_lattice_likelihood():
     pieces = lattice_lm.Pieces(["▁", "▁a", "a", "b", "ab", "▁ab", "\x00x"], np.log(np.array([0.1, 0.2, 0.1, 0.2, 0.1, 0.1, 0.1, 0.1])), np.full(256, 6))
     p = dict(zip(["▁", "▁a", "a", "b", "ab", "▁ab"], [0.1, 0.2, 0.1, 0.2, 0.1, 0.1]))
@@ -514,11 +634,26 @@ def test_source_mix(spark, odd, empty):
     again = source_mix.mix(docs, shards=8, blocks=256).collect()
     assert Counter(map(tuple, pieces)) == Counter(map(tuple, again))
     got = source_mix.taken_by_document(odd).collect()
-    assert sum(r.taken for r in got) == sum(r.size for r in got) and all(r.taken <= 3 * r.size for r in got if r.doc_id != 8)
+    assert sum(r.taken for r in got) == sum(r.size for r in got) and all(r.taken <= 3 * r.size for r in got)
     assert source_mix.taken_by_document(empty).count() == 0
     assert all(r.taken == 0 for r in source_mix.taken_by_document(odd.where("doc_id in (4, 5, 6)")).collect())
 
 
+def test_source_mix_shards(spark):
+    """Shards and pieces of documents by the tree's rows, and by SQL for another number of shards."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert_same(spark, lambda spark, sf: source_mix.taken_by_document(docs, 8, 64, 5), source_mix.oracle_sql(8, 64, 5), SF)
+    pieces = [r for r in source_mix.mix(docs, 8, 64, 5).collect() if r.shard is not None]
+    got = {r.doc_id: r for r in source_mix.taken_by_document(docs, 8, 64, 5).collect()}
+    for i, r in got.items():
+        own = [p for p in pieces if p.doc_id == i]
+        assert r.shards == ",".join(map(str, sorted({p.shard for p in own}))) and r.n_pieces == len(own) and r.taken == sum(p.words for p in own)
+    blocks = Counter((p.source, p.shard) for p in pieces)
+    assert len({shard for _, shard in blocks}) == 8
+    order = sorted((p.shard, p.position) for p in pieces)
+    assert len(set(order)) == len(order)
+
+
 def test_splitting_tree(spark):
     quotas = spark.createDataFrame([(1, 100), (2, 300), (3, 1)], "source_no long, n_blocks long")
     rows = source_mix.split_quotas(quotas, 5, 1).collect()
@@ -540,12 +675,34 @@ def test_pipeline_equals_brute_force(spark):
     hasher = quality_rules.WordHasher()
     start = {r.doc_id: r.text for r in docs.collect()}
     assert set(steps[0]) == {i for i, t in start.items() if quality_rules.measure(t, hasher)[6]}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(sorted(steps[0].items()), columns=["doc_id", "text"]))
+    cut = {r[0]: (r[1], r[2]) for r in con.execute(f"select doc_id, text, n_cut from ({line_dedup.ORACLE_SQL})").fetchall()}
+    assert steps[1] == {i: t for i, (t, lost) in cut.items() if t.split() and 3 * lost <= 2 * (len(t) + lost)}
     heads = brute_components(list(steps[1].items()), 5, 80, 100)
     assert set(steps[2]) == {i for i, (_, c) in heads.items() if c == i}
     items = [shingles(r.text, 5) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert set(steps[3]) == {i for i, t in steps[2].items() if not any(100 * len(s & shingles(t, 5)) >= 80 * len(s) for s in items)}
-    final = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in final} <= set(steps[3]) and all(r.taken > 0 for r in final)
+    final = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, SF).collect()}
+    taken = {r.doc_id: r.taken for r in source_mix.taken_by_document(current).collect()}
+    assert set(taken) == set(steps[3]) and final == {i: n for i, n in taken.items() if n > 0}
+
+
+def test_pipeline_stages_on_shared_ids_and_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    para = lambda n: " ".join(f"word{rng.randrange(5000)}" for _ in range(n))
+    text = "\n".join(para(36) for _ in range(4))
+    changed = text.split("\n")
+    changed[2] = changed[2].replace(changed[2].split()[5], "another", 1)
+    rows = [(1, text), (1, para(60)), (1, text), (2, "\n".join(changed)), (None, text), (3, para(50))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n_cut int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(1, text), (1, rows[1][1]), (0, text), (3, rows[5][1])])
+    assert kept[0].n_cut == 9
+    cut = corpus_pipeline.lines(spark, docs.drop("n_cut").where("doc_id <> 1 or text like '%\n%'"), SF).collect()
+    assert {r.doc_id for r in cut} == {1, 3, None}  # of document 2 one line of four would be left
 
 
 def test_entry_registers_all():
