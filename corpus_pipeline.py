@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from stratasift.llm import decontaminate, line_dedup, ngram_jaccard, quality_rules, source_mix
 from stratasift.llm.common import materialise
 
+#: Share of a document's code points (as numerator and denominator) whose loss as repeated lines makes the rest a fragment.
+FRAGMENT = (2, 3)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. Null and empty texts are rejected."""
@@ -22,20 +25,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one are cut out; documents left without a word go; n_chars follows the text."""
+    """Lines that repeat an earlier one, or nearly, are cut out; n_chars follows the text.
+
+    Documents left without a word go, and so do fragments: documents that lose more than
+    FRAGMENT of their code points are near copies of what stands earlier, and what is left
+    of them is no document. Later stages would not know them as copies any more.
+    """
     cut = line_dedup.dedup_lines(docs)
-    left = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    whole = F.length("text") + F.col("n_cut")
+    left = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]") & (FRAGMENT[1] * F.col("n_cut") <= FRAGMENT[0] * whole))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles, the smallest doc_id stays.
 
-    Rows of a null doc_id stay. Repeated rows of the document that stays come down to one.
+    Rows of a null doc_id stay. Of the document that stays, each different text stays once.
     """
     found = ngram_jaccard.near_duplicate_components(docs, k=5, num=80, den=100)
     heads = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(heads, "doc_id", "left_semi").withColumn("text__", F.xxhash64("text"))
+    named = named.dropDuplicates(["doc_id", "text__"]).drop("text__")
     return named.unionByName(docs.where("doc_id is null"))
 
 
