@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-from stratasift.llm.common import forget, materialise, mix64, passes, slot_filter
+from stratasift.llm.common import forget, materialise, mix64, passes, slices, slot_filter
 
 #: Edits; least bytes of a line that has near ones, and by TAU edits; edits of shorter lines.
 TAU, LEAST, NEAR_LEAST, SHORT_TAU = 2, 20, 40, 1
 #: Lines of a segment from which it is hot, most hot segments that tasks share, lines in a chunk, guests of a chunk in one group.
-HOT, HOT_KEYS, CHUNK, GUESTS = 64, 32_768, 400, 4000
+HOT, HOT_KEYS, CHUNK, GUESTS = 64, 1 << 20, 400, 4000
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -164,7 +164,7 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[t
     """Lines of some bytes at least, distinct within a bounded window of the task, with their ids."""
     seen: set[int] = set()
     held, ids, size = [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             for line in lines_of(text):
                 if len(line) >= least and (h := xxh3_64_intdigest(line)) not in seen:
@@ -172,10 +172,10 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[t
                     held.append(line)
                     ids.append(h)
                     size += len(line)
-                    if size > 1_000_000:
+                    if size > 300_000:
                         yield held, np.array(ids, dtype=np.uint64).view(np.int64)
                         held, ids, size = [], [], 0
-                        if len(seen) > 1_000_000:
+                        if len(seen) > 200_000:
                             seen.clear()
     if held:
         yield held, np.array(ids, dtype=np.uint64).view(np.int64)
@@ -260,7 +260,7 @@ def near_pairs(lines: list[bytes], tau: int, near_least: int = 0, guests: np.nda
 
 
 def _verified(batches: Iterator[pa.RecordBatch], tau: int, near_least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         near = [within(x, y, edits_allowed(x, y, tau, near_least)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         mask = pa.array(near, pa.bool_())
         yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
@@ -275,7 +275,7 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             owner, numbers, one, two = [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
                 for n, line in enumerate(lines_of(text)):
@@ -291,9 +291,9 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
     order = firsts.groupBy("id").agg(F.min("first").alias("first"))
 
     hot = spark.sparkContext.broadcast(_hot_keys(docs, tau, least, near_least))
-    # A line that stands in many tasks comes from each of them: one row a key and line is left where keys meet.
-    met = lambda probe: _keys(docs, tau, least, near_least, [probe], hot, False).repartition("key").dropDuplicates(["key", "id"])
-    i, p = met(False).hint("shuffle_hash").alias("i"), met(True).alias("p")
+    # A line that stands in HOT tasks or more is hot by that: the others meet fewer than HOT rows a key.
+    index, probe = _keys(docs, tau, least, near_least, [False], hot, False), _keys(docs, tau, least, near_least, [True], hot, False)
+    i, p = index.hint("shuffle_hash").alias("i"), probe.alias("p")
     pairs = i.join(p, F.expr("i.key = p.key and i.id <> p.id")).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct()
     pairs, pairs_path = materialise(pairs)
     crowd, crowd_path = materialise(_keys(docs, tau, least, near_least, [False, True], hot, True).distinct())
@@ -363,7 +363,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_least:
     schema = docs.select("*", *(F.lit(0).cast("long").alias(c) for c in new)).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, counts = [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(old).to_pylist()):
                 lines = lines_of(text)
