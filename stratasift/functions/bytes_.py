@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Content of more bytes than this is hashed by its first PART bytes and its size.
@@ -66,3 +66,12 @@ def compression_kind(content: Column) -> Column:
         F.when(hexed.rlike("^(7801|785E|789C|78DA)"), "zlib").when(hexed.startswith("1F8B"), "gzip").when(hexed.startswith("28B52FFD"), "zstd")
         .when(hexed.startswith("04224D18"), "lz4").when(hexed.startswith("5D0000"), "lzma_alone")
     )
+
+
+def entropy_profile(blobs: DataFrame, key: str, content: str, samples: int = 16, block: int = 65_536) -> DataFrame:
+    """(key, block, place, entropy) of `samples` pieces of `block` bytes, spread over each blob that is not empty."""
+    size = F.octet_length(content)
+    step = F.greatest(F.lit(block), F.floor(size / samples)).cast("long")
+    places = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.least((size - 1).cast("long"), k * step))
+    spread = blobs.where(size > 0).select(key, F.col(content).alias("blob__"), F.posexplode(places).alias("block", "place"))
+    return spread.select(key, "block", "place", entropy(F.substr("blob__", (F.col("place") + 1).cast("int"), F.lit(block))).alias("entropy"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stratasift.rules.exports import AXES
+
 #: Bytes of a 4x4 block, or bits of a pixel.
 BLOCK_BYTES = {"DXT1": 8, "BC1": 8, "BC4": 8, "DXT3": 16, "DXT5": 16, "BC2": 16, "BC3": 16, "BC5": 16, "BC6H": 16, "BC7": 16}
 PIXEL_BYTES = {"BGRA": 4, "RGBA": 4, "RGB24": 3, "RGB565": 2, "R8": 1, "A8": 1, "RHALF": 2, "RGBAHALF": 8, "RGBAFLOAT": 16}
@@ -42,3 +44,22 @@ def normalised(weights: Column) -> Column:
     """Weights over their sum; unchanged where the sum is 0."""
     total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + F.coalesce(w.cast("double"), F.lit(0.0)))
     return F.transform(weights, lambda w: w.cast("double") / F.when(total == 0, F.lit(1.0)).otherwise(total))
+
+
+def normalise_vertex(vector: Column, up: str, hand: str, scale: float = 1.0) -> Column:
+    """A Y-up, right-handed point in another system of axes, or back: the swaps are their own inverses but for the sign."""
+    return F.array(*[vector[axis] * (sign * scale) for axis, sign in AXES[up, hand]])
+
+
+def mirrored(up: str, hand: str) -> bool:
+    """Whether a change to that system turns triangles over, by the signs of its axes."""
+    sign = 1
+    for _, s in AXES[up, hand]:
+        sign *= s
+    return sign < 0
+
+
+def winding(place: Column, up: str, hand: str) -> Column:
+    """Where the index at a place of a triangle list goes: the second and third of a triangle change places in a mirrored system."""
+    turned = F.when(place % 3 == 1, place + 1).when(place % 3 == 2, place - 1).otherwise(place)
+    return turned if mirrored(up, hand) else place

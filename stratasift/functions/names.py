@@ -87,3 +87,9 @@ def texture_usage(name: Column) -> Column:
     for usage, pattern in USAGES:
         out = F.when(s.rlike(pattern), usage) if out is None else out.when(s.rlike(pattern), usage)
     return out.otherwise("diffuse")
+
+
+def version_numbers(version: Column) -> Column:
+    """The first three numbers of a dotted version: leading digits of each part, 0 where there are none."""
+    numbers = F.transform(F.split(F.coalesce(version, F.lit("")), r"\."), lambda p: F.coalesce(F.when(p.rlike("^[0-9]"), F.regexp_extract(p, "^([0-9]+)", 1)).cast("int"), F.lit(0)))
+    return F.slice(F.concat(numbers, F.array(F.lit(0), F.lit(0))), 1, 3)

@@ -88,3 +88,19 @@ def rebind(inverse_binds: np.ndarray, parents: list[int]) -> np.ndarray:
     """Local matrices of a bind pose from inverse binds; a singular one counts as the identity."""
     world = np.stack([np.linalg.inv(m) if abs(np.linalg.det(m)) > 1e-12 else np.eye(4) for m in inverse_binds])
     return np.stack([np.linalg.inv(world[p]) @ w if p >= 0 else w for w, p in zip(world, parents)])
+
+
+def tracks_to_nodes(tracks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(clip, bone, node) of tracks (clip, bone): the first node (node, bone) of that name, null where an export drops the track."""
+    first = nodes.groupBy("bone").agg(F.min("node").alias("node"))
+    return tracks.select("clip", "bone").join(first, "bone", "left").select("clip", "bone", "node")
+
+
+def resolve_package_index(refs: DataFrame, index: str, exports: DataFrame, imports: DataFrame, name: str) -> DataFrame:
+    """refs with the name that a signed index points at: n is the n-th export, -n the n-th import, 0 "None", others "?".
+
+    exports and imports are (number, name), from 1. One equi-join over both tables.
+    """
+    targets = exports.select(F.col("number").cast("long").alias("at__"), F.col("name").alias(name)).unionByName(imports.select((-F.col("number")).cast("long").alias("at__"), F.col("name").alias(name)))
+    found = refs.join(targets, F.col(index) == F.col("at__"), "left").drop("at__")
+    return found.withColumn(name, F.when(F.col(index) == 0, "None").otherwise(F.coalesce(name, F.lit("?"))))

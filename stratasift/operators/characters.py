@@ -56,7 +56,7 @@ def slot_matches(bones: DataFrame) -> DataFrame:
     return bones.select("asset", "ix", "name", F.explode(tests).alias("slot")).groupBy("asset", "slot").agg(F.min_by("name", "ix").alias("bone"))
 
 
-def rig_scores(bones: DataFrame, deepest: int = 64) -> DataFrame:
+def rig_scores(bones: DataFrame) -> DataFrame:
     """asset, bone_count, depth, humanoid, rig_score of skeletons (asset, ix, name, parent; -1 or null: a root).
 
     Names give up to 0.6 by matched slots, the shape up to 0.6 by bone count, depth, branch
@@ -66,9 +66,9 @@ def rig_scores(bones: DataFrame, deepest: int = 64) -> DataFrame:
     b = bones.select("asset", F.col("ix").cast("long").alias("ix"), "name", F.when(F.col("parent") >= 0, F.col("parent")).cast("long").alias("parent"))
     node = b.select(F.struct("asset", "ix").alias("id"), F.when(F.col("parent").isNotNull(), F.struct("asset", F.col("parent").alias("ix"))).alias("parent"))
     counts = b.groupBy("asset").agg(F.count("*").alias("bone_count"))
-    depth = graph.depths(node, deepest).groupBy(F.col("id.asset").alias("asset")).agg(F.max("depth").alias("depth"))
+    depth = graph.depths(node).groupBy(F.col("id.asset").alias("asset")).agg(F.max("depth").alias("depth"))
     children = b.where("parent is not null").groupBy("asset", "parent").agg(F.count("*").alias("n")).groupBy("asset").agg(F.count_if(F.col("n") >= 2).alias("branches"))
-    chains = graph.chains(node, deepest).groupBy(F.col("id.asset").alias("asset")).agg(F.count_if(F.col("length") >= 3).alias("chains"))
+    chains = graph.chains(node).groupBy(F.col("id.asset").alias("asset")).agg(F.count_if(F.col("length") >= 3).alias("chains"))
     low = b.select("asset", F.lower("name").alias("name"))
     sides = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in SIDES])
     partner = low.select("asset", "name", F.explode(sides).alias("s")).where(F.expr("contains(name, s.a)")).select("asset", "name", F.replace("name", F.col("s.a"), F.col("s.b")).alias("other"))

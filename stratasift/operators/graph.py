@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,28 +35,63 @@ def containment(levels: list[DataFrame], separator: str = "!") -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def depths(nodes: DataFrame, bound: int = 40) -> DataFrame:
-    """(id, depth) of nodes (id, parent) by pointer doubling: log2(bound) joins; null or missing parents are roots.
+def _kept(df: DataFrame) -> DataFrame:
+    """A round's table, cut from what made it: checkpointed where a folder is set, cached otherwise."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.persist()
+
+
+def _doubled(up: DataFrame) -> DataFrame:
+    """(id, jump, steps) with pointers doubled until none moves to another node; those on cycles are stopped by the count of nodes.
+
+    Each round joins the table with itself: log2 of the longest way, whatever that is.
+    """
+    up = _kept(up)
+    most, span = up.count(), 1
+    while span < 2 * most and not up.where("jump is not null").isEmpty():
+        other = up.select(F.col("id").alias("j"), F.col("jump").alias("jump2"), F.col("steps").alias("steps2"))
+        up = _kept(up.join(other, F.col("jump") == F.col("j"), "left").select("id", F.col("jump2").alias("jump"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
+        span *= 2
+    return up
+
+
+def depths(nodes: DataFrame) -> DataFrame:
+    """(id, depth) of nodes (id, parent) by pointer doubling; null or missing parents are roots.
 
     A node on or below a cycle never reaches a root and gets a null depth.
     """
     known = nodes.select(F.col("id").alias("p0"))
     up = nodes.join(known, F.col("parent") == F.col("p0"), "left").select("id", F.col("p0").alias("jump"), F.when(F.col("p0").isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    span = 1
-    while span < bound:
-        other = up.select(F.col("id").alias("j"), F.col("jump").alias("jump2"), F.col("steps").alias("steps2"))
-        up = up.join(other, F.col("jump") == F.col("j"), "left").select("id", F.col("jump2").alias("jump"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
-        span *= 2
-    return up.select("id", F.when(F.col("jump").isNull(), F.col("steps")).alias("depth"))
+    return _doubled(up).select("id", F.when(F.col("jump").isNull(), F.col("steps")).alias("depth"))
 
 
-def chains(nodes: DataFrame, bound: int = 40) -> DataFrame:
-    """(id, length): how many nodes an unbranched chain that starts at each node has, itself included."""
+def chains(nodes: DataFrame) -> DataFrame:
+    """(id, length): how many nodes an unbranched chain that starts at each node has, itself included; null on a cycle."""
     only = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("child")).where("n = 1").select("id", "child")
+    only = only.join(nodes.select(F.col("id").alias("child")), "child", "left_semi").select("id", "child")
     up = nodes.select("id").join(only, "id", "left").select("id", F.col("child").alias("jump"), F.when(F.col("child").isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    span = 1
-    while span < bound:
-        other = up.select(F.col("id").alias("j"), F.col("jump").alias("jump2"), F.col("steps").alias("steps2"))
-        up = up.join(other, F.col("jump") == F.col("j"), "left").select("id", F.col("jump2").alias("jump"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
-        span *= 2
-    return up.select("id", (F.col("steps") + 1).alias("length"))
+    return _doubled(up).select("id", F.when(F.col("jump").isNull(), F.col("steps") + 1).alias("length"))
+
+
+def preorder(nodes: DataFrame, tree: str) -> DataFrame:
+    """(tree, id, depth, place) of trees (tree, id, parent): parents before children, children by id.
+
+    A node's way from its root sorts it. Ways are joined a level at a time; one tree is one
+    skeleton, so its order is a window over few rows. Nodes on cycles are left out.
+    """
+    level = nodes.where("parent is null").select(tree, "id", F.array("id").alias("way"))
+    level = _kept(level)
+    whole = level
+    below = nodes.where("parent is not null").select(tree, F.col("id").alias("child"), F.col("parent").alias("id"))
+    while not level.isEmpty():
+        level = _kept(level.join(below, [tree, "id"]).select(tree, F.col("child").alias("id"), F.concat("way", F.array("child")).alias("way")))
+        whole = whole.unionByName(level)
+    return whole.select(tree, "id", (F.size("way") - 1).alias("depth"), (F.row_number().over(Window.partitionBy(tree).orderBy("way")) - 1).cast("long").alias("place"))
+
+
+def bone_lookups(nodes: DataFrame) -> DataFrame:
+    """(id, name, is_root, children, first_named) of nodes (id, name, parent): a root has no parent among them."""
+    known = nodes.select(F.col("id").alias("p0"))
+    children = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
+    first = nodes.groupBy("name").agg(F.min("id").alias("first_named"))
+    j = nodes.join(known, F.col("parent") == F.col("p0"), "left").join(children, "id", "left").join(first, "name", "left")
+    return j.select("id", "name", F.col("p0").isNull().alias("is_root"), F.coalesce("children", F.lit(0)).alias("children"), "first_named")

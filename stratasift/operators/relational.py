@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratasift.rules.engines import DATA_FOLDER
+
 
 def duplicate_owners(files: DataFrame, key: str, order: str) -> DataFrame:
     """Each row with the smallest `order` of its content key as owner, and whether it is a copy.
@@ -88,7 +90,8 @@ def engine_scores(files: DataFrame, rules: DataFrame, least: float = 0.2, cap: f
     folders = files.select("scope", "folder").distinct()
     tokens = folders.select("scope", "folder", F.explode(F.array_distinct(F.split(F.lower("folder"), "/"))).alias("token"))
     by_folder = tokens.join(r, (F.col("kind") == "dir") & (F.col("token") == F.col("needle"))).select("scope", "engine", F.concat(F.lit("dir:"), "needle").alias("note"), "weight", F.lit(1).cast("long").alias("n"))
-    hits = by_name.unionByName(by_folder).groupBy("scope", "engine", "note").agg(F.max("weight").alias("weight"), F.sum("n").alias("n"))
+    data = tokens.where(F.col("token").endswith("_data")).select("scope", F.lit("Unity").alias("engine"), F.concat(F.lit("dir:"), "token").alias("note"), F.lit(DATA_FOLDER).alias("weight"), F.lit(1).cast("long").alias("n"))
+    hits = by_name.unionByName(by_folder).unionByName(data).groupBy("scope", "engine", "note").agg(F.max("weight").alias("weight"), F.sum("n").alias("n"))
     harmonic = F.when(F.col("n") >= 3, 1 + 1 / 2 + 1 / 3).when(F.col("n") == 2, 1.5).otherwise(1.0) if repeats == 3 else F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(repeats)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / k)
     scored = hits.groupBy("scope", "engine").agg(F.least(F.lit(cap), F.sum(F.col("weight") * harmonic)).alias("confidence"), F.array_sort(F.collect_set("note")).alias("evidence"))
     return scored.where(F.col("confidence") >= least)

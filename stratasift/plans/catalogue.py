@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from stratasift.functions import bytes_, geometry, names
 from stratasift.operators import graph, relational
-from stratasift.rules.engines import ENGINE_RULES, NAME_NOISE
+from stratasift.rules.engines import DATA_FOLDER, ENGINE_RULES, NAME_NOISE
 from stratasift.rules.signatures import SIGNATURES, extension_rows
+from stratasift.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,12 +94,13 @@ def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(bytes_.entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
 
 
-@query("""with blocks as (select page_id, k, substr(hex(encode(html)), 1 + 2 * 1024 * k, 2048) as h from pages, (select unnest(range(0, 8)) as k) where html is not null)
-select page_id, cast(k as integer) as block, round(entropy(b), 3) as entropy from (select page_id, k, unnest(regexp_extract_all(h, '..')) as b from blocks where h <> '') group by page_id, k""")
+@query("""with p as (select page_id, hex(encode(html)) as h, octet_length(encode(html)) as n from pages where html is not null and html <> ''),
+blocks as (select page_id, k, least(n - 1, k * greatest(1024, n // 16)) as place, substr(h, 1 + 2 * least(n - 1, k * greatest(1024, n // 16)), 2048) as h from p, (select unnest(range(0, 16)) as k))
+select page_id, cast(k as integer) as block, place, round(entropy(b), 3) as entropy from (select page_id, k, place, unnest(regexp_extract_all(h, '..')) as b from blocks) group by page_id, k, place""")
 def entropy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").where("html is not null").select("page_id", F.encode("html", "UTF-8").alias("b"))
-    p = p.select("page_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substr(F.col("b"), k * 1024 + 1, F.lit(1024)))).alias("block", "piece"))
-    return p.where(F.octet_length("piece") > 0).select("page_id", F.col("block").cast("int").alias("block"), F.round(bytes_.entropy("piece"), 3).alias("entropy"))
+    """Entropy of 16 samples of 1 KiB, spread over the whole page; those beyond a short page's end are its last byte."""
+    p = table(spark, sf_dir, "pages").where("html is not null and html <> ''").select("page_id", F.encode("html", "UTF-8").alias("b"))
+    return bytes_.entropy_profile(p, "page_id", "b", 16, 1024).select("page_id", "block", "place", F.round("entropy", 3).alias("entropy"))
 
 
 @query("""with b as (select doc_id, left(hex(encode(text)), 4096) as h from documents where text is not null and text <> ''),
@@ -109,13 +111,17 @@ def textual_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(bytes_.printable_share(F.substring("b", 1, 2048)), 6).alias("printable_share"), bytes_.looks_textual(F.col("b")).alias("textual"))
 
 
-BLOBS = [("a", "789C4BCB"), ("b", "1F8B0800"), ("c", "28B52FFD00"), ("d", "04224D1860"), ("e", "5D00008000"), ("f", "504B0304"), ("g", "78DA")]
+BLOBS = ["789C4BCB", "1F8B0800", "28B52FFD00", "04224D1860", "5D00008000", "504B0304", "78DA", ""]
 
 
-@query(f"""select id, case when regexp_matches(h, '^(7801|785E|789C|78DA)') then 'zlib' when h like '1F8B%' then 'gzip' when h like '28B52FFD%' then 'zstd' when h like '04224D18%' then 'lz4'
-when h like '5D0000%' then 'lzma_alone' end as kind from ({values(BLOBS)}) t(id, h)""")
+@query(f"""with b as (select doc_id, ([{', '.join("'" + b + "'" for b in BLOBS)}])[doc_id % {len(BLOBS)} + 1] || hex(encode(text)) as h from documents where text is not null)
+select doc_id, case when regexp_matches(h, '^(7801|785E|789C|78DA)') then 'zlib' when h like '1F8B%' then 'gzip' when h like '28B52FFD%' then 'zstd' when h like '04224D18%' then 'lz4'
+when h like '5D0000%' then 'lzma_alone' end as kind from b""")
 def compression_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(BLOBS, "id string, h string").select("id", bytes_.compression_kind(F.unhex("h")).alias("kind"))
+    """Documents as blobs, most with a compression's magic number before them."""
+    magic = F.element_at(F.array(*map(F.lit, BLOBS)), (F.col("doc_id") % len(BLOBS) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", bytes_.compression_kind(F.unhex(F.concat(magic, F.hex(F.encode(F.substring("text", 1, 8), "UTF-8"))))).alias("kind"))
 
 
 # Classification
@@ -191,14 +197,15 @@ def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FILE_NAMES = ["globalgamemanagers", "hero.uasset", "a.pck", "a.pck", "SLUS_123.45", "cas.cat", "x.forge", "b.bundle", "readme.txt", "DataPC.forge"]
-_FOLDERS = ["Game/Engine/x", "Game/il2cpp_data", "Game/paks", "other"]
+_FOLDERS = ["Game/Engine/x", "Game/il2cpp_data", "Game/paks", "My_Data/other"]
 
 
 @query(f"""with f as (select page_id % 7 as scope, ([{', '.join("'" + n + "'" for n in _FOLDERS)}])[page_id % 4 + 1] as folder, ([{', '.join("'" + n + "'" for n in _FILE_NAMES)}])[page_id % 10 + 1] as name from pages),
 r as (select engine, kind, needle, cast(weight as double) as weight from ({values(ENGINE_RULES)}) t(engine, kind, needle, weight)),
 h as (select scope, engine, kind, case kind when 'suffix' then 'ext:' || needle when 'file' then 'file:' || name else 'name:' || name end as note, case kind when 'suffix' then weight * 0.6 else weight end as w from f join r
     on (kind = 'file' and lower(name) = needle) or (kind = 'suffix' and ends_with(lower(name), needle)) or (kind = 'prefix' and starts_with(lower(name), needle))
-  union all select scope, engine, kind, 'dir:' || needle, weight from (select distinct scope, folder from f) d join r on kind = 'dir' and list_contains(string_split(lower(folder), '/'), needle)),
+  union all select scope, engine, kind, 'dir:' || needle, weight from (select distinct scope, folder from f) d join r on kind = 'dir' and list_contains(string_split(lower(folder), '/'), needle)
+  union all select scope, 'Unity', 'dir', 'dir:' || token, {DATA_FOLDER} from (select distinct scope, folder, unnest(string_split(lower(folder), '/')) as token from f) where ends_with(token, '_data')),
 n as (select scope, engine, note, max(w) as w, count(*) as n from h group by scope, engine, note)
 select scope, engine, round(least(0.99, sum(w * case when n >= 3 then 1 + 1 / 2 + 1 / 3 when n = 2 then 1.5 else 1 end)), 6) as confidence from n group by scope, engine
 having least(0.99, sum(w * case when n >= 3 then 1 + 1 / 2 + 1 / 3 when n = 2 then 1.5 else 1 end)) >= 0.2""")
@@ -222,9 +229,10 @@ def embedded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All places, but the first character's, of a small set of needles: running lengths of the pieces between them."""
     p = table(spark, sf_dir, "pages").where("html is not null")
     s = p.select("page_id", F.explode(F.array(*[F.struct(F.lit(n).alias("needle"), F.split("html", n.replace("*", r"\*"), -1).alias("parts")) for n in NEEDLES])).alias("s")).select("page_id", "s.*")
-    at = F.aggregate("parts", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + F.length("needle"))))
-    found = F.slice(at, F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))
-    return s.select("page_id", "needle", F.explode(F.transform(found, lambda x: x - F.length("needle"))).alias("at")).where("at > 0")
+    pieces = s.where(F.size("parts") > 1).select("page_id", "needle", F.posexplode(F.transform("parts", F.length)).alias("k", "n"))
+    before = F.sum("n").over(Window.partitionBy("page_id", "needle").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    at = (before + (F.col("k") - 1) * F.length("needle")).cast("long")
+    return pieces.select("page_id", "needle", at.alias("at")).where("at > 0")
 
 
 @query(r"""select doc_id, item_id, cast(strpos(d.text, b.text) - 1 as bigint) as at from documents d join benchmark b on contains(d.text, b.text) where len(string_split_regex(b.text, '\s+')) >= 5""")
@@ -287,17 +295,24 @@ def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with t as ({_TOKENS_SQL}), p as (select a.p_partkey as a, b.p_partkey as b, len(list_intersect(a.tokens, b.tokens)) as i, len(list_distinct(a.tokens || b.tokens)) as u from t a join t b on a.p_partkey < b.p_partkey)
 select a, b, round(least(1.0, i / u + 0.1), 6) as score from p where i / u >= 0.6""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of similar token sets by prefix filtering: rarest tokens first, so only pairs that share one of them are compared."""
+    """Pairs of similar token sets. Equal sets are one class: few classes are compared, by prefix filtering, and members join last.
+
+    Rarest tokens come first, so only classes that share one of them are compared. The pairs
+    of members are the result itself.
+    """
     t = _part_tokens(spark, sf_dir).where(F.size("tokens") > 0)
-    each = t.select("p_partkey", F.explode("tokens").alias("token"))
+    classes = t.select("tokens").distinct()
+    each = classes.select("tokens", F.explode("tokens").alias("token"))
     frequency = each.groupBy("token").agg(F.count("*").alias("n"))
-    ordered = each.join(frequency, "token").groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ordered"))
-    prefix = ordered.select("p_partkey", F.size("ordered").alias("size"), F.explode(F.slice("ordered", F.lit(1), (F.size("ordered") - F.ceil(F.size("ordered") * 0.6) + 1).cast("int"))).alias("o")).select("p_partkey", "size", F.col("o.token").alias("token"))
+    ordered = each.join(frequency, "token").groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ordered"))
+    prefix = ordered.select("tokens", F.explode(F.slice("ordered", F.lit(1), (F.size("ordered") - F.ceil(F.size("ordered") * 0.6) + 1).cast("int"))).alias("o")).select("tokens", F.col("o.token").alias("token"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    pairs = x.join(y, F.expr("x.token = y.token and x.p_partkey < y.p_partkey and x.size >= 0.6 * y.size and y.size >= 0.6 * x.size")).select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b")).distinct()
-    both = pairs.join(t.select(F.col("p_partkey").alias("a"), F.col("tokens").alias("ta")), "a").join(t.select(F.col("p_partkey").alias("b"), F.col("tokens").alias("tb")), "b")
+    pairs = x.join(y, F.expr("x.token = y.token and x.tokens <= y.tokens and size(x.tokens) >= 0.6 * size(y.tokens) and size(y.tokens) >= 0.6 * size(x.tokens)")).select(F.col("x.tokens").alias("ta"), F.col("y.tokens").alias("tb")).distinct()
     jaccard = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return both.where(jaccard >= 0.6).select("a", "b", F.round(names.token_similarity(F.col("ta"), F.col("tb")), 6).alias("score"))
+    similar = pairs.where(jaccard >= 0.6).select("ta", "tb", F.round(names.token_similarity(F.col("ta"), F.col("tb")), 6).alias("score"))
+    member = lambda c, k: t.select(F.col("tokens").alias(c), F.col("p_partkey").alias(k))
+    both = similar.join(member("ta", "i"), "ta").join(member("tb", "j"), "tb").where("ta <> tb or i < j")
+    return both.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "score")
 
 
 @query(r"""with p as (select page_id, string_split(lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')), '/') as s from pages where url is not null),
@@ -362,10 +377,10 @@ def selection_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").join(chosen, "p_partkey", "left_semi").select("p_partkey", "p_name")
 
 
-@query("""with e as (select distinct o_custkey as c, l_partkey as p from orders join lineitem on l_orderkey = o_orderkey where l_quantity > 45)
+@query("""with e as (select distinct o_custkey as c, l_partkey as p from orders join lineitem on l_orderkey = o_orderkey)
 select 'c' || cast(c as varchar) as node, 'p' || cast(p as varchar) as neighbour, 'uses' as relation from e union all select 'p' || cast(p as varchar), 'c' || cast(c as varchar), 'uses' from e""")
 def neighbours_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_quantity > 45"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     e = j.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("uses").alias("relation")).distinct()
     return graph.neighbours(e)
 
@@ -482,16 +497,17 @@ select id, max(length) as length from w group by id having max(length) >= 3""")
 def unbranched_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     n = table(spark, sf_dir, "documents").select(i.alias("id"), F.when(i % 7 == 0, None).when(i % 7 == 6, i - 2).otherwise(i - 1).cast("long").alias("parent"))
-    return graph.chains(n, bound=8).where("length >= 3")
-
+    return graph.chains(n).where("length >= 3")
 
-_TREE = [(1, None), (2, 1), (3, 2), (4, 6), (5, 4), (6, 5), (7, 6), (8, 99)]
 
-
-@query(f"""with recursive n as (select * from ({values(_TREE)}) t(id, parent)), w(id, p, k) as (select id, parent, 1 from n union all select w.id, n.parent, k + 1 from w join n on n.id = w.p where k <= 20)
-select cast(id as bigint) as id, case when max(k) > 20 then 'cycle' when bool_or(p is not null and p not in (select id from n)) then 'bad parent' end as problem from w group by id having max(k) > 20 or bool_or(p is not null and p not in (select id from n))""")
+@query("""with recursive n as (select doc_id as id, case doc_id % 8 when 0 then null when 3 then doc_id + 2 when 6 then doc_id + 1000000 else doc_id - 1 end as parent from documents),
+w(id, p, k) as (select id, parent, 1 from n union all select w.id, n.parent, k + 1 from w join n on n.id = w.p where k <= 20)
+select id, case when max(k) > 20 then 'cycle' else 'bad parent' end as problem from w group by id having max(k) > 20 or bool_or(k = 1 and p is not null and p not in (select id from n))""")
 def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.createDataFrame(_TREE, "id long, parent long")
+    """Bones in groups of eight: some on a cycle, some below it, some with a parent that does not exist."""
+    i = F.col("doc_id")
+    parent = F.when(i % 8 == 0, None).when(i % 8 == 3, i + 2).when(i % 8 == 6, i + 1000000).otherwise(i - 1)
+    n = table(spark, sf_dir, "documents").select(i.alias("id"), parent.cast("long").alias("parent"))
     ids = n.select(F.col("id").alias("known"))
     bad = n.where("parent is not null").join(ids, F.col("parent") == F.col("known"), "left_anti").select("id", F.lit("bad parent").alias("problem"))
     loops = graph.depths(n).where("depth is null").select("id", F.lit("cycle").alias("problem"))
@@ -530,23 +546,25 @@ def slot_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BONE_NAMES = ["hand_l", "hand_r", "LeftFoot", "rightfoot", "spine", "eye.l", "eye.r", "l_toe", "r_toe", "tail"]
 
 
-@query(f"""with n as (select lower(name) as name from ({values([(n,) for n in _BONE_NAMES])}) t(name)), p as (select * from (values (1, 'left', 'right'), (2, '_l', '_r'), (3, '.l', '.r'), (4, 'l_', 'r_')) t(k, a, b))
+@query(f"""with n as (select distinct lower(p_brand || ([{', '.join("'" + b + "'" for b in _BONE_NAMES)}])[p_partkey % {len(_BONE_NAMES)} + 1]) as name from part), p as (select * from (values (1, 'left', 'right'), (2, '_l', '_r'), (3, '.l', '.r'), (4, 'l_', 'r_')) t(k, a, b))
 select n.name as name, arg_min(replace(n.name, a, b), k) as partner from n join p on contains(n.name, a) join n m on m.name = replace(n.name, a, b) group by n.name""")
 def symmetric_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.createDataFrame([(x.lower(),) for x in _BONE_NAMES], "name string")
+    bone = F.element_at(F.array(*map(F.lit, _BONE_NAMES)), (F.col("p_partkey") % len(_BONE_NAMES) + 1).cast("int"))
+    n = table(spark, sf_dir, "part").select(F.lower(F.concat("p_brand", bone)).alias("name")).distinct()
     sides = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate([("left", "right"), ("_l", "_r"), (".l", ".r"), ("l_", "r_")])])
     each = n.select("name", F.explode(sides).alias("s")).where(F.expr("contains(name, s.a)")).select("name", "s.k", F.replace("name", F.col("s.a"), F.col("s.b")).alias("partner"))
     return each.join(n.select(F.col("name").alias("partner")), "partner", "left_semi").groupBy("name").agg(F.min_by("partner", "k").alias("partner"))
 
 
-@query("""with k as (select user_id, epoch(ts) as t, value as v from events where value is not null), g as (select user_id, floor(min(t) / 3600) * 3600 + 3600 * i as t from k, (select unnest(range(0, 6)) as i) group by user_id, i),
+@query("""with k as (select user_id, epoch(ts) as t, value as v from events where value is not null), g as (select user_id, unnest(range(cast(floor(min(t) / 3600) as bigint), cast(floor(max(t) / 3600) as bigint) + 1)) * 3600 as t from k group by user_id),
 joined as (select g.user_id, g.t, (select arg_max(struct_pack(t := k.t, v := k.v), k.t) from k where k.user_id = g.user_id and k.t <= g.t) as b, (select arg_min(struct_pack(t := k.t, v := k.v), k.t) from k where k.user_id = g.user_id and k.t >= g.t) as a from g)
 select user_id, cast(t as bigint) as t, round(case when b is null then a.v when a is null or a.t = b.t then b.v else b.v + (a.v - b.v) * (t - b.t) / (a.t - b.t) end, 6) as value from joined""")
 def keyframe_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("value is not null")
     micros = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     k = e.select("user_id", micros.alias("t"), "value")
-    g = k.groupBy("user_id").agg((F.floor(F.min("t") / 3600) * 3600).alias("t0")).select("user_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"), "t0").select("user_id", (F.col("t0") + 3600 * F.col("i")).cast("double").alias("t"))
+    hours = F.sequence(F.floor(F.min("t") / 3600), F.floor(F.max("t") / 3600))
+    g = k.groupBy("user_id").agg(hours.alias("h")).select("user_id", F.explode("h").alias("hour")).select("user_id", (F.col("hour") * 3600).cast("double").alias("t"))
     out = relational.interpolate(k, "user_id", "t", "value", g, "t")
     return out.select("user_id", F.col("t").cast("long").alias("t"), F.round("value", 6).alias("value"))
 
@@ -598,9 +616,15 @@ def rename_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.when(F.col("r") == 1, F.col("p_brand")).otherwise(F.concat(F.col("p_brand"), F.lit("_"), F.when(F.col("r") < 100, F.lpad(F.col("r").cast("string"), 2, "0")).otherwise(F.col("r").cast("string")))).alias("file"))
 
 
-@query("""select p_partkey, '{"name":"' || p_name || '","brand":"' || p_brand || '","size":' || cast(p_size as varchar) || '}' as manifest from part""")
+@query("""select p_partkey, '{"name":"' || p_name || '","source":"' || p_brand || '","format":"GLB","engine":"Unknown","asset_type":"' || lower(p_type) || '","confidence":0.667,"mesh":["' || p_name || '.glb"],"vertices":' || cast(p_size as varchar)
+  || ',"triangles":' || cast(p_size // 3 as varchar) || ',"skinned":' || case when p_size > 25 then 'true' else 'false' end || ',"bones":0,"skeleton":null,"coordinate_system":"y_up_rh","original_coordinate_system":null,"unit_scale":1.0,"animations":[],"textures":[],"validation":null,"classification_evidence":null,"group_confidence":null,"generated":null}' as manifest from part""")
 def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))).alias("manifest"))
+    p, none = table(spark, sf_dir, "part"), F.array().cast("array<string>")
+    a = p.select(
+        "p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("source"), F.lit("GLB").alias("format"), F.col("p_type").alias("asset_type"), F.lit(2 / 3).alias("confidence"), F.array(F.concat("p_name", F.lit(".glb"))).alias("mesh"), F.col("p_size").alias("vertices"),
+        F.floor(F.col("p_size") / 3).alias("triangles"), (F.col("p_size") > 25).alias("skinned"), F.lit(0).alias("bones"), F.lit("y_up_rh").alias("coordinate_system"), F.lit(1.0).alias("unit_scale"), none.alias("animations"), none.alias("textures"),
+    )
+    return sinks.asset_manifests(a, "p_partkey")
 
 
 @query("""select o_orderstatus, count(*) as n, cast(greatest(0, sum(1) - count(*) filter (where o_orderstatus <> 'O')) as bigint) as remaining, round(avg(case when o_orderstatus in ('F') then 1.0 else 0.0 end), 6) as fraction from orders group by o_orderstatus""")

@@ -181,7 +181,7 @@ def image_headers(files: DataFrame) -> DataFrame:
     return files.select("virtual_path", "content").mapInPandas(run, "virtual_path string, format string, width long, height long")
 
 
-def find_embedded(blob: bytes, magics: dict[str, bytes], limit: int = 4096) -> list[tuple[int, str]]:
+def find_embedded(blob: bytes, magics: dict[str, bytes]) -> list[tuple[int, str]]:
     """Places, behind the first byte, where magic numbers stand inside a blob, in order."""
     hits = []
     for name, magic in magics.items():
@@ -189,7 +189,7 @@ def find_embedded(blob: bytes, magics: dict[str, bytes], limit: int = 4096) -> l
         while at >= 0:
             hits.append((at, name))
             at = blob.find(magic, at + 1)
-    return sorted(hits)[:limit]
+    return sorted(hits)
 
 
 def unpack_bits(data: bytes, count: int, bits: int, start: float = 0.0, span: float = 0.0) -> np.ndarray:

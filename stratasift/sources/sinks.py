@@ -5,9 +5,11 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratasift.rules.exports import EXPORT_FOLDERS, OTHER_FOLDER, OTHER_STATES, STATE_ORDER, TERMINAL_STATES, WRITERS
+
 
 def manifests(assets: DataFrame) -> DataFrame:
     """One JSON text an asset, keys in the columns' order."""
@@ -42,3 +44,39 @@ def report(counts: dict[str, int], unsupported: DataFrame, errors: DataFrame, mo
     tables = "".join(f"<h2>{k}</h2><table>{''.join(f'<tr>{cells(r)}</tr>' for r in body[k])}</table>" for k in ("unsupported", "errors"))
     items = "".join(f"<li>{html.escape(k)}: {v}</li>" for k, v in counts.items())
     return json.dumps(body, indent=2, default=str), f"<!DOCTYPE html><title>Scan report</title><ul>{items}</ul>{tables}"
+
+
+def state_rank(state: Column) -> Column:
+    """A state's place in the order of states; those beside it follow."""
+    return F.array_position(F.array(*map(F.lit, [*STATE_ORDER, *OTHER_STATES])), state).cast("int") - 1
+
+
+def is_terminal(state: Column) -> Column:
+    return state.isin(TERMINAL_STATES)
+
+
+def export_folder(classification: Column) -> Column:
+    folders = F.create_map(*[F.lit(x) for kv in EXPORT_FOLDERS.items() for x in kv])
+    return F.coalesce(folders[classification], F.lit(OTHER_FOLDER))
+
+
+def export_problem(form: Column) -> Column:
+    """Why a format is not written; null where it is."""
+    return F.when(~form.isin(WRITERS), F.concat(F.lit("no writer for "), form))
+
+
+#: The keys of an asset's manifest, in order.
+MANIFEST_KEYS = [
+    "name", "source", "format", "engine", "asset_type", "confidence", "mesh", "vertices", "triangles", "skinned", "bones", "skeleton", "coordinate_system", "original_coordinate_system",
+    "unit_scale", "animations", "textures", "validation", "classification_evidence", "group_confidence", "generated",
+]
+
+
+def asset_manifests(assets: DataFrame, key: str) -> DataFrame:
+    """(key, manifest): JSON of MANIFEST_KEYS; columns that assets lacks are null there, an engine that is not known is "Unknown"."""
+    value = {c: F.col(c) if c in assets.columns else F.lit(None).cast("string") for c in MANIFEST_KEYS}
+    value["engine"] = F.coalesce(value["engine"], F.lit("Unknown"))
+    value["asset_type"] = F.lower(value["asset_type"])
+    for c in ("confidence", "group_confidence"):
+        value[c] = F.round(value[c].cast("double"), 3)
+    return assets.select(key, F.to_json(F.struct(*[value[c].alias(c) for c in MANIFEST_KEYS]), {"ignoreNullFields": "false"}).alias("manifest"))

@@ -1,6 +1,6 @@
 import pytest
 
-from stratasift.plans import catalogue
+from stratasift.plans import catalogue, inventory
 from tests.oracle import assert_same
 
 
@@ -13,7 +13,7 @@ def test_entry_module_has_sql_for_all_catalogue_queries():
     import __spark_entry__
 
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
-    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES) and inventory.QUERIES is catalogue.QUERIES
 
 
 def test_entry(spark):

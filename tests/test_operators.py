@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratasift.functions import names
-from stratasift.operators import characters, graph, relational
-from stratasift.sources import sinks
+from stratasift.operators import characters, graph, registry, relational
+from stratasift.sources import embedded, sinks
 from stratasift.streaming import dedup
 
 HUMAN = [("Hips", -1), ("Spine", 0), ("Chest", 1), ("Neck", 2), ("Head", 3), ("LeftShoulder", 2), ("LeftArm", 5), ("LeftForeArm", 6), ("LeftHand", 7), ("RightShoulder", 2), ("RightArm", 9), ("RightForeArm", 10), ("RightHand", 11), ("LeftUpLeg", 0), ("LeftLeg", 13), ("LeftFoot", 14), ("RightUpLeg", 0), ("RightLeg", 16), ("RightFoot", 17)]
@@ -89,3 +89,41 @@ def test_streaming_first_seen(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == 2
+
+
+def test_long_chains_and_cycles(spark):
+    n = spark.createDataFrame([(i, i - 1 if i else None) for i in range(100)] + [(200, 202), (201, 200), (202, 201), (203, 200), (300, 999)], "id long, parent long")
+    depth = {r.id: r.depth for r in graph.depths(n).collect()}
+    assert all(depth[i] == i for i in range(100)) and depth[200] is None and depth[203] is None and depth[300] == 0
+    length = {r.id: r.length for r in graph.chains(n).collect()}
+    assert all(length[i] == 100 - i for i in range(100)) and length[300] == 1
+
+
+def test_registry_order_and_plugins(tmp_path):
+    r = registry.Registry("x")
+    for name, priority in (("a", 10), ("b", 90), ("c", 90), ("d", None)):
+        r.add(name, priority)
+    assert list(r) == ["b", "c", "d", "a"] and r.first(lambda x: x in "da") == "d" and r.first(lambda x: False) is None
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    for p in (good, bad):
+        p.mkdir()
+    (good / "plugin.json").write_text('{"name": "good", "version": "1", "entrypoint": "plugin.py"}')
+    (good / "plugin.py").write_text("def register(api):\n    api.add_detector('seen', 99)\n")
+    (bad / "plugin.json").write_text('{"name": "bad", "version": "1", "entrypoint": "../x.py", "api_version": 7}')
+    assert registry.load_plugins(tmp_path) == {"bad": ["asks for interface 7, this is 1", "entrypoint is no plain file name"], "good": []}
+    assert "seen" in list(registry.REGISTRIES["detector"])
+    registry.REGISTRIES["detector"].clear()
+
+
+def test_embedded_items(spark):
+    import struct
+    import zlib
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 16, 9, 8, 2, 0, 0, 0) + b"\0" * 4 + b"\0\0\0\0" + embedded.PNG_END
+    blob = b"HEADER" + bytes(100) + png + b"\xff" * 50
+    df = spark.createDataFrame([("f", bytearray(blob)), ("n", None)], "virtual_path string, content binary")
+    r = embedded.embedded_items(df).collect()
+    assert [(x.at, x.kind, x.width, x.height, bytes(x.content)) for x in r] == [(106, "PNG", 16, 9, png)]
+    packed = zlib.compress(b"x" * 4096)
+    assert embedded.decompress(packed, "zlib") == b"x" * 4096 and embedded.decompress(packed, "zlib", 10) == b"x" * 10 and embedded.decompress(b"78", "gzip") is None
+    assert [(at, out) for at, out in embedded.zlib_streams(b"ab" + packed + b"cd")] == [(2, b"x" * 4096)]
