@@ -317,6 +317,7 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.record_batch([*(pa.array(columns[:, c]) for c in range(6)), pa.array(suspect, pa.bool_())], ["host", "page", "path", "content", "look", "kind", "suspect"])
 
     nodes = pages.select("url", "html").mapInArrow(run, "host long, page long, path long, content long, look long, kind long, suspect boolean")
+    nodes, _ = materialise(nodes)  # pages are parsed once for the tree
     # One node a page and path: of copies that differ around the article, the least hashes.
     one = nodes.where("kind <> 2").groupBy("host", "path", "page").agg(F.min("content").alias("content"), F.min("look").alias("look"), F.bool_or("suspect").alias("suspect"))
     variants = nodes.where("kind <> 1 and content <> 0").select("host", "path", "content", "page").distinct().groupBy("host", "path", "content").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
