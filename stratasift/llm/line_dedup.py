@@ -35,7 +35,7 @@ from stratasift.llm.common import forget, materialise, mix64, passes, slices, sl
 #: Edits; least bytes of a line that has near ones, and by TAU edits; edits of shorter lines.
 TAU, LEAST, NEAR_LEAST, SHORT_TAU = 2, 20, 40, 1
 #: Lines of a segment from which it is hot, most hot segments that tasks share, lines in a chunk, guests of a chunk in one group.
-HOT, HOT_KEYS, CHUNK, GUESTS = 64, 1 << 20, 400, 4000
+HOT, HOT_KEYS, CHUNK, GUESTS = 16, 1 << 20, 400, 4000
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 
