@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,19 +192,27 @@ def _hot_keys(docs: DataFrame, tau: int, least: int, near_least: int) -> np.ndar
     return np.sort(np.array([r.key for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _keys(docs: DataFrame, tau: int, least: int, near_least: int, probes: list[bool], hot, want_hot: bool) -> DataFrame:
-    """(key, id) of the lines' segments (False) or probes (True) or both, those that are hot or the others."""
+def _keys(docs: DataFrame, tau: int, least: int, near_least: int, probe: bool, hot, want_hot: bool) -> DataFrame:
+    """(key, id) of the lines' segments, or of their probes, those that are hot or the others.
+
+    A line's own segments are among its probes: those of its length, unshifted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = hot.value
+        # Most keys are not hot: a slot each tells that before the table is searched.
+        slots = np.zeros(1 << 22, dtype=bool)
+        slots[(table & np.uint64(len(slots) - 1)).astype(np.int64)] = True
         for lines, ids in _distinct_lines(batches, least) if len(table) or not want_hot else ():
-            for probe in probes:
-                keys, rows = near_keys(lines, tau, near_least, probe)
-                if len(table):
-                    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-                    chosen = (table[at] == keys) == want_hot
-                    keys, rows = keys[chosen], rows[chosen]
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(ids[rows])], ["key", "id"])
+            keys, rows = near_keys(lines, tau, near_least, probe)
+            if len(table):
+                maybe = np.flatnonzero(slots[(keys & np.uint64(len(slots) - 1)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(table, keys[maybe]), len(table) - 1)
+                hits = maybe[table[at] == keys[maybe]]
+                chosen = np.full(len(keys), not want_hot)
+                chosen[hits] = want_hot
+                keys, rows = keys[chosen], rows[chosen]
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(ids[rows])], ["key", "id"])
 
     return docs.select("text").mapInArrow(run, "key long, id long")
 
@@ -266,6 +273,39 @@ def _verified(batches: Iterator[pa.RecordBatch], tau: int, near_least: int) -> I
         yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in the first columns, which are longs."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in range(width)])
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for start, end in zip(starts, starts[1:]):
+                if held and (start or (keys[0] != last).any()):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(start, end - start))
+            last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _later(batches: Iterator[pa.RecordBatch], width: int, tau: int, near_least: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of ordered groups: one earlier line a near each line b that has any. Columns: the group's, id, line, and guest or none."""
+    a, b = [], []
+    for group in _runs(batches, width):
+        ids, lines = group.column(width).to_pylist(), group.column(width + 1).to_pylist()
+        guest = group.column(width + 2).to_numpy() if group.num_columns > width + 2 else None
+        earlier = {j: i for i, j in near_pairs(lines, tau, near_least, guest) if guest is None or guest[j]}
+        a += [ids[i] for i in earlier.values()]
+        b += [ids[j] for j in earlier]
+        if len(a) > 10_000:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_least: int = NEAR_LEAST) -> DataFrame:
     """The lines to remove, of docs (doc_id, text): doc_id, line_no, id (the line's hash), near.
 
@@ -292,11 +332,11 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
 
     hot = spark.sparkContext.broadcast(_hot_keys(docs, tau, least, near_least))
     # A line that stands in HOT tasks or more is hot by that: the others meet fewer than HOT rows a key.
-    index, probe = _keys(docs, tau, least, near_least, [False], hot, False), _keys(docs, tau, least, near_least, [True], hot, False)
+    index, probe = _keys(docs, tau, least, near_least, False, hot, False), _keys(docs, tau, least, near_least, True, hot, False)
     i, p = index.hint("shuffle_hash").alias("i"), probe.alias("p")
     pairs = i.join(p, F.expr("i.key = p.key and i.id <> p.id")).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct()
     pairs, pairs_path = materialise(pairs)
-    crowd, crowd_path = materialise(_keys(docs, tau, least, near_least, [False, True], hot, True).distinct())
+    crowd, crowd_path = materialise(_keys(docs, tau, least, near_least, True, hot, True).distinct())
     wanted, wanted_path = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowd.select("id")).distinct())
     texts, texts_path = materialise(_texts(docs, wanted, least))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
@@ -307,15 +347,9 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
     chunked = crowd.join(sizes, "key").join(texts, "id").join(order, "id")
     chunked = chunked.select("key", "id", "line", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("c"))
 
-    def later(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        # One pair is enough for each line that has an earlier one.
-        frame = frame.sort_values(["doc_id", "line_no", "id"], ignore_index=True)
-        guest = frame["guest"].to_numpy(bool) if "guest" in frame else None
-        earlier = {j: i for i, j in sorted(near_pairs(frame["line"].tolist(), tau, near_least, guest), reverse=True) if guest is None or guest[j]}
-        ids = frame["id"].to_numpy()
-        return pd.DataFrame({"a": ids[list(earlier.values())], "b": ids[list(earlier)]}, dtype="int64")
-
-    own, own_path = materialise(chunked.groupBy("key", "c").applyInPandas(later, "a long, b long"))
+    in_order = ["doc_id", "line_no", "id"]
+    chunk = chunked.repartition("key", "c").sortWithinPartitions("key", "c", *in_order).select("key", "c", "id", "line")
+    own, own_path = materialise(chunk.mapInArrow(lambda it: _later(it, 2, tau, near_least), "a long, b long"))
     several = chunked.where("chunks > 1")
     undecided = several.join(own.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
     undecided, undecided_path = materialise(undecided)
@@ -326,7 +360,8 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
     hosts = several.join(groups, "key").withColumn("g", F.explode(F.sequence(zero, F.col("groups") - 1))).withColumn("d", F.col("c"))
     shared = ["key", "d", "g", "id", "line", "doc_id", "line_no"]
     meeting = guests.select(*shared, F.lit(True).alias("guest")).unionByName(hosts.select(*shared, F.lit(False).alias("guest")))
-    links = links.unionByName(own).unionByName(meeting.groupBy("key", "d", "g").applyInPandas(later, "a long, b long"))
+    meeting = meeting.repartition("key", "d", "g").sortWithinPartitions("key", "d", "g", *in_order).select("key", "d", "g", "id", "line", "guest")
+    links = links.unionByName(own).unionByName(meeting.mapInArrow(lambda it: _later(it, 3, tau, near_least), "a long, b long"))
 
     ranked = links.join(order.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(order.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
     near, _ = materialise(ranked.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
