@@ -125,10 +125,13 @@ def segment_keys(lines: list[bytes], tau: int, probe: bool) -> tuple[np.ndarray,
         begun = np.concatenate([[0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)])
         length = np.diff(begun[np.concatenate([[0], np.cumsum(length)])])
     base = np.concatenate([[0], np.cumsum(length)])[:-1]
-    data = points(joined).astype(np.uint64) + np.uint64(1)
+    data = points(joined).astype(np.uint64)
+    data += np.uint64(1)
     with np.errstate(over="ignore"):
         power, inverse = powers(len(data) + 1)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * power[:-1])])
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        data *= power[:-1]
+        np.cumsum(data, out=prefix[1:])
 
         keys, rows = [], []
         everything = np.arange(len(lines))
@@ -180,20 +183,24 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[t
         yield held, np.array(ids, dtype=np.uint64).view(np.int64)
 
 
-def _hot_keys(docs: DataFrame, tau: int, least: int, near_least: int) -> np.ndarray:
-    """Segments that HOT lines or more share over the whole table, most shared first, HOT_KEYS of them at most."""
+def _index(docs: DataFrame, tau: int, least: int, near_least: int) -> DataFrame:
+    """(key, id) of the lines' segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines, _ in _distinct_lines(batches, least):
-            keys, counts = np.unique(near_keys(lines, tau, near_least, False)[0].view(np.int64), return_counts=True)
-            yield pa.record_batch([pa.array(keys), pa.array(counts, pa.int64())], ["key", "n"])
+        for lines, ids in _distinct_lines(batches, least):
+            keys, rows = near_keys(lines, tau, near_least, False)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(ids[rows])], ["key", "id"])
+
+    return docs.select("text").mapInArrow(run, "key long, id long")
+
 
-    rows = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()
-    return np.sort(np.array([r.key for r in rows], dtype=np.int64).view(np.uint64))
+def _hot_keys(index: DataFrame) -> DataFrame:
+    """Segments that HOT lines or more share over the whole table, most shared first, HOT_KEYS of them at most: key."""
+    return index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key")
 
 
-def _keys(docs: DataFrame, tau: int, least: int, near_least: int, probe: bool, hot, want_hot: bool) -> DataFrame:
-    """(key, id) of the lines' segments, or of their probes, those that are hot or the others.
+def _probes(docs: DataFrame, tau: int, least: int, near_least: int, hot, want_hot: bool) -> DataFrame:
+    """(key, id) of the lines' probes, those that are hot or the others.
 
     A line's own segments are among its probes: those of its length, unshifted.
     """
@@ -204,7 +211,7 @@ def _keys(docs: DataFrame, tau: int, least: int, near_least: int, probe: bool, h
         slots = np.zeros(1 << 22, dtype=bool)
         slots[(table & np.uint64(len(slots) - 1)).astype(np.int64)] = True
         for lines, ids in _distinct_lines(batches, least) if len(table) or not want_hot else ():
-            keys, rows = near_keys(lines, tau, near_least, probe)
+            keys, rows = near_keys(lines, tau, near_least, True)
             if len(table):
                 maybe = np.flatnonzero(slots[(keys & np.uint64(len(slots) - 1)).astype(np.int64)])
                 at = np.minimum(np.searchsorted(table, keys[maybe]), len(table) - 1)
@@ -330,13 +337,15 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
     firsts, _ = materialise(lines.groupBy("id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
     order = firsts.groupBy("id").agg(F.min("first").alias("first"))
 
-    hot = spark.sparkContext.broadcast(_hot_keys(docs, tau, least, near_least))
-    # A line that stands in HOT tasks or more is hot by that: the others meet fewer than HOT rows a key.
-    index, probe = _keys(docs, tau, least, near_least, False, hot, False), _keys(docs, tau, least, near_least, True, hot, False)
-    i, p = index.hint("shuffle_hash").alias("i"), probe.alias("p")
+    index, index_path = materialise(_index(docs, tau, least, near_least))
+    hot_keys, hot_path = materialise(_hot_keys(index))
+    hot = spark.sparkContext.broadcast(np.sort(hot_keys.toArrow().column("key").to_numpy().view(np.uint64)))
+    # At most HOT_KEYS longs are broadcast. A line that stands in HOT tasks or more is hot by that: the others meet fewer than HOT rows a key.
+    cold = index.join(F.broadcast(hot_keys), "key", "left_anti")
+    i, p = cold.hint("shuffle_hash").alias("i"), _probes(docs, tau, least, near_least, hot, False).alias("p")
     pairs = i.join(p, F.expr("i.key = p.key and i.id <> p.id")).select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct()
     pairs, pairs_path = materialise(pairs)
-    crowd, crowd_path = materialise(_keys(docs, tau, least, near_least, True, hot, True).distinct())
+    crowd, crowd_path = materialise(_probes(docs, tau, least, near_least, hot, True).distinct())
     wanted, wanted_path = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowd.select("id")).distinct())
     texts, texts_path = materialise(_texts(docs, wanted, least))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b").select("a", "b", "x", "y")
@@ -365,7 +374,7 @@ def removed_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, near_leas
 
     ranked = links.join(order.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(order.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
     near, _ = materialise(ranked.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
-    for path in (pairs_path, crowd_path, wanted_path, texts_path, own_path, undecided_path):
+    for path in (index_path, hot_path, pairs_path, crowd_path, wanted_path, texts_path, own_path, undecided_path):
         forget(spark, path)
     decided = firsts.join(near.withColumn("near", F.lit(True)), "id", "left").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
     out = lines.join(decided, ["id", "check"])
