@@ -131,11 +131,12 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 1)
     drawn = runs.select("source_no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("place"))
     block_shards = drawn.join(listed, ["source_no", "place"]).select("source_no", "block", "shard")
     block_shards = materialise(block_shards)[0]  # at most BLOCKS rows and one more a source
-    taken = rows.where("block is not null").join(block_shards, ["source_no", "block"])
-    taken = taken.withColumn("position", F.xxhash64(F.lit(seed + 2), "shard", "source_no", "block", "at"))
-    columns = ["doc_id", "copy", "size", "source", "source_size", "target", "shard", "position", "words"]
-    left_out = rows.where("block is null").select("doc_id", "copy", "size", "source", "source_size", "target", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("position"), F.lit(0).cast("long").alias("words"))
-    return taken.select(columns).unionByName(left_out)
+    # Documents that are left out have no block: negative ones of many values match nothing and spread them over the tasks.
+    spread = F.coalesce("block", -1 - F.pmod(F.xxhash64("doc_id", "copy"), F.lit(blocks)))
+    dealt = rows.withColumn("block", spread).join(block_shards, ["source_no", "block"], "left")
+    position = F.when(F.col("shard").isNotNull(), F.xxhash64(F.lit(seed + 2), "shard", "source_no", "block", "at"))
+    dealt = dealt.withColumns({"position": position, "words": F.coalesce("words", F.lit(0).cast("long"))})
+    return dealt.select("doc_id", "copy", "size", "source", "source_size", "target", "shard", "position", "words")
 
 
 def taken_by_document(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 1) -> DataFrame:
