@@ -63,6 +63,12 @@ def _colours_565(v: np.ndarray) -> np.ndarray:
     return np.stack([(r << 3) | (r >> 2), (g << 2) | (g >> 4), (b << 3) | (b >> 2)], axis=-1).astype(np.int64)
 
 
+def packed_565(data: bytes, width: int, height: int) -> np.ndarray:
+    """RGBA pixels of 16-bit colours."""
+    rgb = _colours_565(np.frombuffer(data, "<u2", width * height).astype(np.int64)).reshape(height, width, 3)
+    return np.concatenate([rgb, np.full((height, width, 1), 255)], axis=-1).astype(np.uint8)
+
+
 def _bc_colours(blocks: np.ndarray, punch_through: bool) -> np.ndarray:
     """(n, 16, 4) values of colour blocks (n, 8 bytes): two end colours and two bits a pixel."""
     words = np.ascontiguousarray(blocks).view("<u2").astype(np.int64)
@@ -95,8 +101,8 @@ def _bc_ramp(blocks: np.ndarray) -> np.ndarray:
 
 
 def decode_blocks(data: bytes, width: int, height: int, kind: str) -> np.ndarray:
-    """RGBA pixels of a BC1, BC3, BC4 or BC5 texture (also by their DXT names)."""
-    kind = {"DXT1": "BC1", "DXT5": "BC3", "ATI1": "BC4", "ATI2": "BC5"}.get(kind, kind)
+    """RGBA pixels of a BC1 to BC5 texture (also by their DXT names)."""
+    kind = {"DXT1": "BC1", "DXT3": "BC2", "DXT5": "BC3", "ATI1": "BC4", "ATI2": "BC5"}.get(kind, kind)
     across, down = max(1, -(-width // 4)), max(1, -(-height // 4))
     size = 8 if kind in ("BC1", "BC4") else 16
     if len(data) < across * down * size:
@@ -104,6 +110,9 @@ def decode_blocks(data: bytes, width: int, height: int, kind: str) -> np.ndarray
     blocks = np.frombuffer(data, np.uint8, across * down * size).reshape(-1, size)
     if kind == "BC1":
         out = _bc_colours(blocks, True)
+    elif kind == "BC2":
+        out = _bc_colours(blocks[:, 8:], False)
+        out[..., 3] = 17 * np.stack([blocks[:, :8] & 15, blocks[:, :8] >> 4], axis=-1).reshape(-1, 16).astype(np.int64)
     elif kind == "BC3":
         out = _bc_colours(blocks[:, 8:], False)
         out[..., 3] = _bc_ramp(blocks[:, :8])
