@@ -59,14 +59,15 @@ def write_png(pixels: np.ndarray) -> bytes:
 
 
 def _colours_565(v: np.ndarray) -> np.ndarray:
-    r, g, b = v >> 11 & 31, v >> 5 & 63, v & 31
-    return np.stack([(r << 3) | (r >> 2), (g << 2) | (g >> 4), (b << 3) | (b >> 2)], axis=-1).astype(np.int64)
+    """Colours of 5, 6 and 5 bits, spread over 0 to 255 and rounded."""
+    parts = [(v >> 11 & 31, 31), (v >> 5 & 63, 63), (v & 31, 31)]
+    return np.stack([(x.astype(np.int64) * 255 + most // 2) // most for x, most in parts], axis=-1)
 
 
 def packed_565(data: bytes, width: int, height: int) -> np.ndarray:
-    """RGBA pixels of 16-bit colours."""
-    rgb = _colours_565(np.frombuffer(data, "<u2", width * height).astype(np.int64)).reshape(height, width, 3)
-    return np.concatenate([rgb, np.full((height, width, 1), 255)], axis=-1).astype(np.uint8)
+    """RGBA pixels of 16-bit colours, shifted up."""
+    v = np.frombuffer(data, "<u2", width * height).reshape(height, width)
+    return np.stack([(v >> 11 & 31) << 3, (v >> 5 & 63) << 2, (v & 31) << 3, np.full_like(v, 255)], axis=-1).astype(np.uint8)
 
 
 def _bc_colours(blocks: np.ndarray, punch_through: bool) -> np.ndarray:

@@ -351,8 +351,8 @@ def pixels_of(form: str, data: bytes, width: int, height: int) -> np.ndarray:
         return np.frombuffer(data, np.uint8, width * height * 4).reshape(height, width, 4)[..., list(CHANNELS[form])]
     if form in ("PF_G8", "PF_A8"):
         one = np.frombuffer(data, np.uint8, width * height).reshape(height, width, 1)
-        full, none = np.full_like(one, 255), np.zeros_like(one)
-        return np.concatenate([one, one, one, full] if form == "PF_G8" else [none, none, none, one], axis=-1)
+        full = np.full_like(one, 255)
+        return np.concatenate([one, one, one, full] if form == "PF_G8" else [full, full, full, one], axis=-1)
     raise ValueError(f"unsupported texture format {form}")
 
 
@@ -371,7 +371,8 @@ def texture(package: Package, export: dict, bulk: bytes | None = None, optional:
     try:
         for mip in mip_records(c, form, width, height):
             if (data := mip_bytes(package, mip, bulk, optional)) is not None:
-                return {**out, "width": mip["width"], "height": mip["height"], "png": write_png(pixels_of(form, data, mip["width"], mip["height"]))}
+                image = pixels_of(form, data, mip["width"], mip["height"])
+                return {**out, "width": mip["width"], "height": mip["height"], "png": write_png(image if image[..., 3].min() < 255 else image[..., :3])}
     except (ValueError, struct.error) as e:
         return {**out, "reason": str(e)}
     return {**out, "reason": "pixels stand outside of the package and are not at hand"}

