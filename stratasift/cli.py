@@ -13,7 +13,7 @@ from stratasift.operators import relational
 from stratasift.rules.engines import ENGINE_RULES
 from stratasift.rules.signatures import SIGNATURES
 from stratasift.session import build_session
-from stratasift.sources import archives, images, models, scan, sinks
+from stratasift.sources import archives, exports, images, models, scan, sinks
 
 
 def _scan(spark, a) -> dict:
@@ -33,9 +33,9 @@ def _scan(spark, a) -> dict:
         Path(a.out, "report.json").write_text(text)
         Path(a.out, "report.html").write_text(page)
     if a.verb == "extract":
-        keep = parsed.where("valid").select("virtual_path")
-        rows = whole.join(keep, "virtual_path", "left_semi").select("virtual_path", "content")
-        rows.write.mode("overwrite").parquet(str(Path(a.out, "models.parquet")))
+        repeated = owners.where("is_duplicate").select("virtual_path")
+        rows = whole.join(repeated, "virtual_path", "left_anti").select("virtual_path", "content")
+        exports.export_models(rows, a.format.split(",")).write.mode("overwrite").parquet(str(Path(a.out, "exports.parquet")))
     return counts
 
 
@@ -61,6 +61,7 @@ def main(argv: list[str] | None = None) -> int:
         v.add_argument("path")
         v.add_argument("--out", default="out" if verb == "extract" else None)
         v.add_argument("--work")
+        v.add_argument("--format", default="glb", help="export formats, comma-joined")
         v.add_argument("--max-depth", type=int, default=10)
         v.add_argument("--max-bytes", type=int)
     verbs.add_parser("formats")

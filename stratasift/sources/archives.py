@@ -19,6 +19,8 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+
 Member = tuple[str, bytes]
 _DEVICES = {"CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10))}
 
@@ -114,28 +116,38 @@ def read_afs(blob: bytes, budget: Budget) -> Iterator[Member]:
             yield (names[i] if names and names[i] else f"file_{i:05d}.bin"), blob[at : at + size]
 
 
+#: The fewest and most members of a magic-less table, its smallest file, its largest padding, overlap and the least share that members fill.
+TABLE_ENTRIES, TABLE_BYTES, TABLE_PADDING, TABLE_OVERLAP, TABLE_SHARE = (4, 65_536), 4096, 4096, 2048, 0.8
+
+
 def offset_table(blob: bytes) -> list[tuple[int, int]] | None:
     """(offset, length) of the members of a magic-less table, or None if no layout is proven.
 
-    Two layouts: a count and growing offsets, or a count and (offset, size) pairs. Offsets
-    must start behind the table, be aligned, grow and stay inside; gaps must be paddings.
+    Two layouts: a count and growing offsets, or a count and (offset, size) pairs, of which
+    empty ones are no members. Offsets are multiples of 4 behind the table, members stay
+    inside and fill most of the file; of two proven layouts the one that fills more counts.
     """
-    if len(blob) < 16 or sum(32 <= b < 127 or b in (9, 10, 13) for b in blob[:256]) > 0.9 * min(256, len(blob)):
+    least, most = TABLE_ENTRIES
+    if len(blob) < TABLE_BYTES or sum(32 <= b < 127 or b in (9, 10, 13) for b in blob[:256]) > 0.9 * 256:
         return None
     (n,) = struct.unpack_from("<I", blob)
-    if not 2 <= n <= 65_536:
+    if not least <= n <= most:
         return None
+    proven = []
     if 4 + 4 * n <= len(blob):
-        at = struct.unpack_from(f"<{n}I", blob, 4)
-        if at[0] >= 4 + 4 * n and at[0] <= 4 + 4 * n + 4096 and all(x % 4 == 0 for x in at) and all(x < y for x, y in zip(at, at[1:])) and at[-1] < len(blob):
-            return [(x, y - x) for x, y in zip(at, [*at[1:], len(blob)])]
+        at = np.frombuffer(blob, "<u4", n, 4).astype(np.int64)
+        if at[0] >= 4 + 4 * n and at[-1] < len(blob) and not (at % 4).any() and (np.diff(at) > 0).all():
+            proven.append(np.column_stack([at, np.diff(at, append=len(blob))]))
     if 4 + 8 * n <= len(blob):
-        flat = struct.unpack_from(f"<{2 * n}I", blob, 4)
-        pairs = list(zip(flat[::2], flat[1::2]))
-        ends = [x + s for x, s in pairs]
-        if pairs[0][0] >= 4 + 8 * n and all(s > 0 for _, s in pairs) and all(0 <= y[0] - e < 4096 for e, y in zip(ends, pairs[1:])) and ends[-1] <= len(blob) < ends[-1] + 4096:
-            return pairs
-    return None
+        pairs = np.frombuffer(blob, "<u4", 2 * n, 4).astype(np.int64).reshape(n, 2)
+        pairs = pairs[pairs[:, 1] > 0]
+        at, ends = pairs[:, 0], pairs.sum(axis=1)
+        before = np.concatenate([[4 + 8 * n], ends[:-1]])
+        if len(pairs) >= least and (at >= 4 + 8 * n).all() and not (at % 4).any() and (ends <= len(blob)).all() and (at >= before - TABLE_OVERLAP).all():
+            proven.append(pairs)
+    whole = [p for p in proven if len(blob) - p.sum(axis=1).max() <= TABLE_PADDING and p[:, 1].sum() >= TABLE_SHARE * len(blob)]
+    best = max(whole, key=lambda p: min(1.0, p[:, 1].sum() / len(blob)), default=None)
+    return None if best is None else [(int(x), int(s)) for x, s in best]
 
 
 def read_offset_table(blob: bytes, budget: Budget) -> Iterator[Member]:
@@ -454,15 +466,9 @@ def read_iso(blob: bytes, budget: Budget) -> Iterator[Member]:
             yield path, iso.read(lba, size)
 
 
-def read_cue(blob: bytes, budget: Budget) -> Iterator[Member]:
-    """The track files that a cue sheet names, without content."""
-    for name in re.findall(r'^\s*FILE\s+"?([^"\r\n]+?)"?\s+\w+\s*$', blob.decode("utf-8", "replace"), re.M | re.I):
-        yield name, b""
-
-
 READERS: dict[str, Callable[[bytes, Budget], Iterator[Member]]] = {
     "ZIP": read_zip, "TAR": read_tar, "GZIP": _stream(lambda f: gzip.GzipFile(fileobj=f)), "BZIP2": _stream(bz2.BZ2File), "XZ": _stream(lzma.LZMAFile),
-    "AFS": read_afs, "Offset table": read_offset_table, "Template": read_template, "PAK": read_pak, "Unity AssetBundle (FS)": read_unity_bundle, "ISO 9660": read_iso, "CUE": read_cue,
+    "AFS": read_afs, "Offset table": read_offset_table, "Template": read_template, "PAK": read_pak, "Unity AssetBundle (FS)": read_unity_bundle, "ISO 9660": read_iso,
 }
 #: Formats that are named but never opened, and why.
 UNSUPPORTED = {"Microsoft Cabinet": "no CAB reader", "7-Zip": "py7zr is not installed", "RAR4": "rarfile is not installed", "RAR5": "rarfile is not installed"}
@@ -493,7 +499,7 @@ def sniff_container(name: str, blob: bytes) -> str | None:
 def members_of(name: str, blob: bytes, max_bytes: int = 8 << 30, max_entries: int = 200_000, max_ratio: float = 200.0) -> list[dict]:
     """Rows of a container: member, content, error. Members before a broken limit stay, the breaking one goes."""
     kind = sniff_container(name, blob)
-    if kind is None:
+    if kind is None or kind == "CUE":  # a cue sheet names files that stand beside it: scan.cue_tracks
         return []
     if kind in UNSUPPORTED:
         return [{"format": kind, "member": None, "content": None, "error": f"unsupported: {UNSUPPORTED[kind]}"}]
@@ -501,6 +507,8 @@ def members_of(name: str, blob: bytes, max_bytes: int = 8 << 30, max_entries: in
     row = lambda member, content, error: rows.append({"format": kind, "member": member, "content": content, "error": error})
     try:
         for member, content in READERS[kind](blob, budget):
+            if kind == "Offset table":
+                member = f"{name.rsplit('/', 1)[-1].rsplit('.', 1)[0]}_{member}"
             try:
                 path = safe_path(member or re.sub(r"\.(gz|bz2|xz|tgz|Z)$", "", name.rsplit("/", 1)[-1], flags=re.I) or "payload")
             except Unsafe as e:

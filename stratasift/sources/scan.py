@@ -37,6 +37,20 @@ def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) ->
     return files.select(rel.alias("virtual_path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), F.when(~large, F.col("content")).alias("content"), F.when(large, F.concat("path", F.lit(" (too large)"))).alias("error"))
 
 
+#: Fixed value: the line of a cue sheet that names a track's file.
+TRACK_LINE = r'(?im)^[ \t]*FILE[ \t]+("[^"\r\n]*"|[^\s"]+)'
+
+
+def cue_tracks(files: DataFrame) -> DataFrame:
+    """cue, track, found: the files that the cue sheets among files (virtual_path, content) name, and whether they stand beside them."""
+    sheets = files.where(F.lower("virtual_path").endswith(".cue") & F.col("content").isNotNull())
+    named = F.regexp_extract_all(F.make_valid_utf8(F.col("content").cast("string")), F.lit(TRACK_LINE), F.lit(1))
+    folder = F.regexp_extract("virtual_path", r"^(.*/)?[^/]*$", 1)
+    tracks = sheets.select(F.col("virtual_path").alias("cue"), folder.alias("folder"), F.explode(named).alias("name")).select("cue", F.concat("folder", F.btrim("name", F.lit('"'))).alias("track"))
+    there = files.select(F.col("virtual_path").alias("track"), F.lit(True).alias("found"))
+    return tracks.join(there, "track", "left").select("cue", "track", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def detect(spark: SparkSession, files: DataFrame) -> DataFrame:
     """virtual_path, format, category, confidence, engine: the arg-max of signature, text, extension and fallback rules.
 

@@ -108,11 +108,15 @@ def test_afs():
 
 
 def test_offset_table():
-    parts = [bytes([i]) * 32 for i in range(1, 4)]
-    blob = struct.pack("<4I", 3, 16, 48, 80) + b"".join(parts)
-    assert list(named(archives.members_of("x.dat", blob)).values()) == parts
-    assert archives.offset_table(np.random.default_rng(1).bytes(4096)) is None
-    assert archives.offset_table(b"this is just text " * 20) is None
+    parts = [bytes([i]) * 1024 for i in range(1, 5)]
+    starts = [20 + 1024 * i for i in range(4)]
+    blob = struct.pack("<5I", 4, *starts) + b"".join(parts)
+    assert named(archives.members_of("d/x.dat", blob)) == {f"x_{i:05d}.dat": p for i, p in enumerate(parts)}
+    pairs = struct.pack("<11I", 5, 44, 1024, 1068, 1024, 0, 0, 2092, 1024, 3116, 1024) + b"".join(parts)
+    assert list(named(archives.members_of("x.dat", pairs)).values()) == parts
+    few = struct.pack("<4I", 3, 16, 2064, 4112) + b"\1" * 6144
+    for other in (few, blob[:4090], struct.pack("<5I", 4, 20, 24, 22, 28) + blob[20:], pairs + b"\0" * 4100, np.random.default_rng(1).bytes(4096), b"this is just text " * 300):
+        assert archives.offset_table(other) is None
 
 
 def test_template_container():
@@ -231,8 +235,12 @@ def test_iso():
     assert named(archives.members_of("d.bin", raw))["MODEL.BIN"] == b"m" * 3000
 
 
-def test_cue():
-    assert list(archives.read_cue(b'FILE "track 1.bin" BINARY\n  TRACK 01 MODE2/2352', archives.Budget())) == [("track 1.bin", b"")]
+def test_cue(spark):
+    sheet = b'FILE "track 1.bin" BINARY\n  TRACK 01 MODE2/2352\n file two.bin BINARY\nREM FILE x'
+    files = [("d/a.cue", sheet), ("d/track 1.bin", b"x"), ("two.bin", b"y"), ("e.CUE", b"\xff"), ("f.cue", None)]
+    tracks = scan.cue_tracks(spark.createDataFrame(files, "virtual_path string, content binary")).collect()
+    assert {tuple(r) for r in tracks} == {("d/a.cue", "d/track 1.bin", True), ("d/a.cue", "d/two.bin", False)}
+    assert archives.members_of("d/a.cue", sheet) == []
 
 
 def test_obj_and_mtl():
