@@ -13,7 +13,9 @@ in exact set similarity join" (Wang et al., VLDB 2017):
 
 Tokens are 64-bit hashes of word windows. Any total order of tokens gives right results;
 shingles that are locally frequent get the last places, so shared passages rarely enter a
-prefix. The list of frequent shingles has a fixed bound and changes speed only.
+prefix. The lists of frequent shingles have a fixed bound and change speed only. Pairs of short
+lists must leave room for their overlap in a small histogram of each set before they count, so
+that chance neither sends sets nor ties them into crowds that grow with the table.
 
 Equal sets are one class. Classes that a chain of candidates connects (a crowd) meet in one
 group while they are few, so that each set is sent once, not once a list; a group has its own
@@ -43,8 +45,8 @@ TOKENS = 1_000_000
 WHOLE = 16 * CHUNK
 #: Sets that visit a chunk of a long list in one group.
 GUESTS = 1024
-#: Bound of the list of frequent shingles that tasks share.
-FREQUENT = 32_768
+#: Bounds of the lists of frequent shingles that tasks share: of any, and of the low ones.
+FREQUENT, LOW_FREQUENT = 32_768, 262_144
 
 
 def shingle_set(text: str | None, k: int, hasher: WordHasher) -> np.ndarray:
@@ -62,7 +64,12 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n + 1 + (-n * num) // den
 
 
-def _local_frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def low_tokens(num: int, den: int) -> int:
+    """Tokens below this are twice the share of all that prefixes hold; rare ones come by hash, so most of a prefix lies below."""
+    return min(1 << 63, (1 << 65) * (den - num) // den)
+
+
+def _local_frequent(batches: Iterator[pa.RecordBatch], k: int, low: int) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     tokens, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     held: list[np.ndarray] = []
@@ -87,14 +94,22 @@ def _local_frequent(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Re
     fold()
     top = np.flatnonzero(counts >= 6)
     top = top[np.argsort(-counts[top], kind="stable")[: FREQUENT // 2]]
+    # In a large table a shingle of hundreds of lists may repeat only once in a task.
+    below = np.flatnonzero(tokens < np.uint64(low))
+    top = np.union1d(top, below[np.argsort(-counts[below], kind="stable")[:LOW_FREQUENT]])
     yield pa.record_batch([pa.array(tokens[top].view(np.int64)), pa.array(counts[top])], ["token", "n"])
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Up to FREQUENT shingles that repeat within a partition, rarest first. A bounded aid to ordering, not an exact count."""
-    local = docs.select("text").mapInArrow(lambda it: _local_frequent(it, k), "token long, n long")
-    rows = local.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    return np.array([r.token for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+def frequent_shingles(docs: DataFrame, k: int, num: int, den: int) -> np.ndarray:
+    """Up to FREQUENT shingles that repeat within a partition, and LOW_FREQUENT of the low ones, rarest first. A bounded aid to ordering, not an exact count."""
+    low = low_tokens(num, den)
+    local = docs.select("text").mapInArrow(lambda it: _local_frequent(it, k, low), "token long, n long")
+    counted, path = materialise(local.groupBy("token").agg(F.sum("n").alias("n")).where("n > 2"))
+    most = lambda df, n: df.orderBy(F.desc("n"), "token").limit(n)
+    rows = most(counted, FREQUENT).union(most(counted.where(F.col("token").between(0, low - 1)), LOW_FREQUENT)).distinct().toArrow()
+    forget(docs.sparkSession, path)
+    token, n = rows.column("token").to_numpy(), rows.column("n").to_numpy()
+    return token[np.lexsort((-token, n))].view(np.uint64)
 
 
 def ordered_prefix(tokens: np.ndarray, sorted_frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -119,26 +134,50 @@ def identity(tokens: np.ndarray) -> tuple[int, int]:
         return int(tokens.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(tokens * np.uint64(0xD6E8FEB86659FD93) ^ (tokens >> np.uint64(32))).view(np.int64))
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens of a set end in each value of some low bits: a byte a count, a power of two of them, about n / 4; empty if a count needs more."""
+    slots = 1 << max(4, (len(tokens) // 4).bit_length() - 1)
+    counts = np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens that two sets with these sketches have in common at most."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    slots = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, slots).sum(axis=0), y.reshape(-1, slots).sum(axis=0)).sum())
+
+
+def _near_by_sketch(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, na, nb, x, y) whose sketches leave room for the overlap that the threshold asks for."""
+    for batch in batches:
+        sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())
+        room = [not x or not y or most_overlap(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= needed_overlap(na, nb, num, den) for na, nb, x, y in sizes]
+        mask = pa.array(room, pa.bool_())
+        yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+
 def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     order = np.argsort(frequent)
     sorted_frequent, rank = frequent[order], order
     list_type = pa.list_(pa.int64())
     for batch in batches:
-        sizes, s1, s2, prefixes = [], [], [], []
+        sizes, s1, s2, prefixes, sketches = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             t = shingle_set(text, k, hasher)
             sizes.append(len(t))
             x, y = identity(t)
             s1.append(x)
             s2.append(y)
+            sketches.append(sketch(t) if len(t) else b"")
             prefixes.append(ordered_prefix(t, sorted_frequent, rank, num, den).view(np.int64) if len(t) else np.empty(0, np.int64))
         lengths = np.array([len(p) for p in prefixes], dtype=np.int32)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         values = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
         yield pa.record_batch(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values).cast(list_type)],
-            ["doc_id", "n_shingles", "s1", "s2", "prefix"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values).cast(list_type), pa.array(sketches, pa.binary())],
+            ["doc_id", "n_shingles", "s1", "s2", "prefix", "sketch"],
         )
 
 
@@ -371,12 +410,12 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
-    index, _ = materialise(docs.mapInArrow(lambda it: _index(it, k, num, den, frequent.value), f"doc_id {kind}, n_shingles long, s1 long, s2 long, prefix array<long>"))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k, num, den))
+    index, _ = materialise(docs.mapInArrow(lambda it: _index(it, k, num, den, frequent.value), f"doc_id {kind}, n_shingles long, s1 long, s2 long, prefix array<long>, sketch binary"))
     filled = index.where("n_shingles > 0 and doc_id is not null")
     identity_columns = ["s1", "s2", "n_shingles"]
     # Classes of equal sets; numbered once, as they are written.
-    classes = filled.groupBy(*identity_columns).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    classes = filled.groupBy(*identity_columns).agg(F.min("doc_id").alias("rep"), F.first(F.struct("prefix", "sketch")).alias("made")).select(*identity_columns, "rep", "made.*")
     classes, _ = materialise(classes.withColumn("cls", F.monotonically_increasing_id()))
     lists = classes.select("cls", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     shared = lists.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
@@ -396,7 +435,11 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
     hidden = F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
     first = (num + den) * F.col("tail") >= need  # if the first shared token is not in a long list
     kept = ((num + den) * (F.col("shared") + hidden + suffix) >= need) & (first | (hidden > 0))
-    pairs, pairs_path = materialise(shares.where(kept).select("a", "b"))
+    shares = shares.where(kept).select("a", "b", "na", "nb")
+    # Most pairs share a token by chance. Sketches tell so before sets are sent and before chance ties crowds together.
+    sketches = classes.select("cls", "sketch")
+    drawn = shares.join(sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
+    pairs, pairs_path = materialise(drawn.select("a", "b", "na", "nb", "x", "y").mapInArrow(lambda it: _near_by_sketch(it, num, den), "a long, b long"))
     long = postings.where(F.col("length") > SHORT)
     # Sets that some chain of candidates connects meet in one group if they are few, each sent there once.
     owners = long.groupBy("token").agg(F.min("cls").alias("owner"))
@@ -434,9 +477,9 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, num: int = 80, den: i
     labels = components(links.unionByName(same.where("a <> b")))
     for path in paths:
         forget(spark, path)
-    found = classes.drop("prefix").join(labels, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("component", "cls"))
+    found = classes.drop("prefix", "sketch").join(labels, F.col("cls") == F.col("v"), "left").withColumn("label", F.coalesce("component", "cls"))
     least = found.groupBy("label").agg(F.min("rep").alias("least"))
     found = found.join(least, "label").select(*identity_columns, "least")
-    out = index.drop("prefix").join(found, identity_columns, "left")
+    out = index.drop("prefix", "sketch").join(found, identity_columns, "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))

@@ -127,6 +127,36 @@ def test_chunk_forest_with_labels():
         assert closure([*same, *ngram_jaccard.chunk_forest(np.arange(50), sets, 85, 100, labels)]) == closure([*same, *links])
 
 
+def test_ngram_jaccard_pairs_by_chance_send_no_sets(spark, monkeypatch):
+    """Texts that share most rare shingles but are not near: they must not become pairs, whose sets are sent."""
+    rng, rows, counts = random.Random(5), [], []
+    for i in range(120):
+        base = [f"{rng.random():.9f}" for _ in range(42)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(base[:28] + [f"{rng.random():.9f}" for _ in range(14)])), (3 * i + 2, " ".join(base) + " end")]
+    made = ngram_jaccard.materialise
+
+    def counted(df):
+        out = made(df)
+        counts.extend([out[0].count()] if out[0].columns == ["a", "b"] else [])
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "materialise", counted)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {i: i if i % 3 == 1 else i - i % 3 for i, _ in rows}
+    assert counts[0] == 120  # the near ones
+
+
+def test_ngram_jaccard_sketch_never_tells_less_than_the_overlap():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 700, 5000):
+        for share in (0.0, 0.5, 0.95, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(0, 1 << 63, 1 + int(n * 0.3), dtype=np.uint64)]))
+            x, y = (np.frombuffer(ngram_jaccard.sketch(t), np.uint8) for t in (a, b))
+            assert len(np.intersect1d(a, b)) <= ngram_jaccard.most_overlap(x, y) <= min(len(a), len(b))
+    assert ngram_jaccard.sketch(np.arange(0, 1 << 20, 1 << 10, dtype=np.uint64)) == b""  # a count beyond a byte says nothing
+
+
 def test_jaccard_join_odd_rows(odd, empty):
     rows = ngram_jaccard.near_duplicate_components(odd, 3, 90, 100).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
