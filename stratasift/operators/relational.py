@@ -95,3 +95,26 @@ def engine_scores(files: DataFrame, rules: DataFrame, least: float = 0.2, cap: f
     harmonic = F.when(F.col("n") >= 3, 1 + 1 / 2 + 1 / 3).when(F.col("n") == 2, 1.5).otherwise(1.0) if repeats == 3 else F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(repeats)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / k)
     scored = hits.groupBy("scope", "engine").agg(F.least(F.lit(cap), F.sum(F.col("weight") * harmonic)).alias("confidence"), F.array_sort(F.collect_set("note")).alias("evidence"))
     return scored.where(F.col("confidence") >= least)
+
+
+#: Members of a class that one row carries.
+BLOCK = 1024
+
+
+def member_blocks(members: DataFrame) -> DataFrame:
+    """(cls, block) of members (cls, id): their ids in arrays of about BLOCK, so that a large class is several rows."""
+    sizes = members.groupBy("cls").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    cut = members.join(sizes, "cls").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return cut.groupBy("cls", "b").agg(F.collect_list("id").alias("block")).drop("b")
+
+
+def pairs_of_members(classes: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(i, j, score) for all members i and j of each pair (x, y, score) of classes; left and right are member_blocks.
+
+    Only blocks are joined and dealt, each pair of them to any task; the pairs of members are
+    made last, where they are read, and never shuffled.
+    """
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes.sparkSession.sparkContext.defaultParallelism)
+    both = classes.join(left.select(F.col("cls").alias("x"), F.col("block").alias("p")), "x").join(right.select(F.col("cls").alias("y"), F.col("block").alias("q")), "y")
+    dealt = both.select("p", "q", "score").repartition(4 * parts, F.xxhash64("p", "q"))
+    return dealt.select(F.explode("p").alias("i"), "q", "score").select("i", F.explode("q").alias("j"), "score")

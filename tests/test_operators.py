@@ -138,3 +138,21 @@ def test_preorder_of_deep_trees_takes_few_rounds(spark, monkeypatch):
     got = {(r.tree, r.id): (r.depth, r.place) for r in graph.preorder(spark.createDataFrame(chain + rest, "tree string, id long, parent long"), "tree").collect()}
     assert got == {("a", i): (i, i) for i in range(300)} | {("b", 1): (0, 0), ("b", 9): (1, 1), ("b", 7): (0, 2), ("b", 3): (1, 3), ("b", 4): (2, 4), ("b", 5): (1, 5)}
     assert len(rounds) <= 13
+
+
+@pytest.mark.parametrize("name", ["jaccard_pairs"])
+def test_pairs_of_members_are_never_shuffled(spark, name):
+    from stratasift.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("Exchange")
+
+
+def test_pairs_of_members_cuts_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(relational, "BLOCK", 4)
+    members = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 100)], "cls string, id long")
+    blocks = relational.member_blocks(members)
+    assert blocks.count() > 4
+    classes = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.5)], "x string, y string, score double")
+    got = sorted((r.i, r.j, r.score) for r in relational.pairs_of_members(classes, blocks, blocks).collect())
+    assert got == sorted([(i, j, 1.0) for i in range(30) for j in range(30)] + [(i, 100, 0.5) for i in range(30)])
